@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import backoff, crf, cuckoo, jaccard, mixing, neighbours, packing, preferences, surrogates, warc
-from loomgraph.llm.shared import new_path
+from loomgraph.llm.shared import new_path, stage
 
 
 def tokenizer_path() -> str:
@@ -28,7 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path, least=0)
-    return warc.captures(warc.read_warc(spark, path, payloads=False))
+    #: Assembly reads the records several times; without payloads they are a small table.
+    return warc.captures(stage(warc.read_warc(spark, path, payloads=False), "records"))
 
 
 def op2_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
