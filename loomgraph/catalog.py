@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
+from loomgraph.queries import base
+
+for _name in ("predicates", "search", "rollup"):
+    importlib.import_module(f"loomgraph.queries.{_name}")
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.ORACLE)
