@@ -30,7 +30,7 @@ FROM (
 """
 
 P1_EDGES = """
-SELECT src, dst, kind, source, scope, CASE source WHEN 'Both' THEN 0.95 WHEN 'Scip' THEN 0.9 ELSE 0.7 END AS confidence
+SELECT src, dst, kind, source, scope, CAST(CASE source WHEN 'Both' THEN 0.95 WHEN 'Scip' THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence
 FROM (
   SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'contains' AS kind, 'TreeSitter' AS source, 'Production' AS scope FROM {nation}
   UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, 'contains', 'TreeSitter', 'Production' FROM {supplier}
