@@ -47,10 +47,8 @@ def relation_edges(ids: DataFrame, domains: DataFrame | None = None) -> DataFram
     rel = rel.where(~(F.col("kind").isin("extends", "implements") & F.col("target").isin(model.MARKER_TRAITS)))
     rel = rel.withColumn("rel_id", F.sha2(F.concat_ws("\x00", "memory_id", "kind", "target"), 256)).dropDuplicates(["rel_id"])
     asked = rel.select("rel_id", "target", F.col("file_path").alias("file"))
-    if domains is None:
-        hit = resolve_with_locality(ids, asked)
-    else:
-        hit = _resolve_in_domain(ids, asked, domains)
+    pool = ids.where(P.has_role("kind", "definition"))  # an import is no target; what it names is
+    hit = resolve_with_locality(pool, asked) if domains is None else _resolve_in_domain(pool, asked, domains)
     bound = rel.join(hit.select("rel_id", F.col("memory_id").alias("dst")), "rel_id").select(F.col("memory_id").alias("src"), "dst", "kind", "test")
     back = bound.where("kind = 'implements'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("has_impl").alias("kind"), "test")
     return bound.union(back).where("src <> dst")

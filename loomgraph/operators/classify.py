@@ -171,6 +171,7 @@ def classify(nodes: DataFrame, edges: DataFrame, root_rows: DataFrame, populatio
     ``population`` (node) are the nodes that are classified at all; others are unclassified. ``excluded`` is a condition on
     nodes that the census leaves out (default: O-115).
     """
+    nodes, edges, root_rows = cut(nodes, "nodes"), cut(edges, "edges"), cut(root_rows, "roots")  # read many times below
     everyone = nodes.select(F.col("memory_id").alias("node"))
     people = everyone if population is None else everyone.join(population, "node", "left_semi")
     reached = cut(reach_sets(nodes, edges, root_rows, None if population is None else people), "reached")

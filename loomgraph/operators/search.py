@@ -70,17 +70,20 @@ def resolve_with_locality(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     uniquely shortest name.
     """
     info = nodes.select(F.col("memory_id").alias("id"), F.col("file_path").alias("at"), "symbol_name")
-    asked = relations.withColumnRenamed("target", "query")
-    found = asked.join(exact_and_suffix(nodes, asked.select("query")).join(info, F.col("memory_id") == F.col("id")).drop("id"), "query")
-    near = F.when(F.col("at") == F.col("file"), 0).when(P.crate_name("at") == P.crate_name("file"), 1).otherwise(2)
-    order = F.struct(F.length("symbol_name").alias("n"), "symbol_name", "at", "memory_id")
-    ranked = found.withColumn("near", near).withColumn("order", order)
-    groups = ranked.groupBy("rel_id", "tier", "near").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("o"))
-    level = groups.withColumn("total", F.sum("n").over(W.partitionBy("rel_id", "tier"))).where((F.col("near") < 2) | (F.col("total") == 1))
-    first = level.groupBy("rel_id").agg(F.min_by("o", F.struct("tier", "near"))["memory_id"].alias("memory_id"))
-    short = ranked.withColumn("len", F.length("symbol_name")).withColumn("least", F.min(F.length("symbol_name")).over(W.partitionBy("rel_id"))).where("len = least")
-    last = short.groupBy("rel_id").agg(F.count(F.lit(1)).alias("n"), F.min("memory_id").alias("memory_id")).where("n = 1").select("rel_id", "memory_id")
-    return first.union(last.join(first, "rel_id", "left_anti"))
+    asked = relations.select(F.col("target").alias("query"), "file").distinct().withColumn("crate", P.crate_name("file"))
+    found = exact_and_suffix(nodes, asked.select("query")).join(info, F.col("memory_id") == F.col("id")).drop("id")
+    found = found.withColumn("in_crate", P.crate_name("at")).withColumn("order", F.struct(F.length("symbol_name").alias("n"), "symbol_name", "at", "memory_id"))
+    #: The answer depends on the name, tier, file and crate alone, so candidates are summed up by these: no row per relation and candidate.
+    best = F.min("order")["memory_id"]
+    by_file = found.groupBy("query", "tier", F.col("at").alias("file")).agg(best.alias("of_file"))
+    by_crate = found.where("in_crate is not null").groupBy("query", "tier", F.col("in_crate").alias("crate")).agg(best.alias("of_crate"))
+    overall = found.groupBy("query", "tier").agg(F.when(F.count(F.lit(1)) == 1, F.min("memory_id")).alias("sole"))
+    lengths = found.groupBy("query", F.length("symbol_name").alias("len")).agg(F.count(F.lit(1)).alias("n"), F.min("memory_id").alias("id"))
+    shortest = lengths.groupBy("query").agg(F.min_by(F.when(F.col("n") == 1, F.col("id")), F.col("len")).alias("short"))
+    tiers = overall.join(asked, "query").join(by_file, ["query", "tier", "file"], "left").join(by_crate, ["query", "tier", "crate"], "left")
+    pick = tiers.withColumn("hit", F.coalesce("of_file", "of_crate", "sole")).where("hit is not null").groupBy("query", "file").agg(F.min_by("hit", "tier").alias("hit"))
+    answer = asked.join(shortest, "query").join(pick, ["query", "file"], "left").select(F.col("query").alias("target"), "file", F.coalesce("hit", "short").alias("memory_id")).where("memory_id is not null")
+    return relations.join(answer, ["target", "file"]).select("rel_id", "memory_id")
 
 
 def search_by_name(nodes: DataFrame, q: str, kind: str | None = None, definitions_only: bool = False, limit: int | None = 20) -> DataFrame:

@@ -159,11 +159,11 @@ query(
 query("o108_scope_conflicts", "WITH c AS (" + _SITES.replace("{lineitem}", "lineitem") + ")" + _PAIRS + "SELECT caller, callee FROM p WHERE scopes > 1")(lambda t: B.project_calls(t.sql(_SITES))[1])
 query(
     "j09_receiver_methods",
-    "WITH t AS (SELECT n_regionkey AS d, p_brand AS r, min('t' || p_partkey) AS type FROM part JOIN nation ON n_nationkey = p_partkey % 25 GROUP BY ALL HAVING count(*) = 1) SELECT 'm' || s_suppkey AS method, type FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN t ON d = n_regionkey AND r = 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 4 + 1)",
+    "WITH t AS (SELECT p_partkey % 500 AS d, p_brand AS r, min('t' || p_partkey) AS type FROM part GROUP BY ALL HAVING count(*) = 1) SELECT 'm' || s_suppkey AS method, type FROM supplier JOIN part ON p_partkey = s_suppkey JOIN t ON d = s_suppkey % 500 AND r = p_brand",
 )(
     lambda t: B.receiver_methods(
-        t.sql("SELECT 'm' || s_suppkey AS memory_id, 'pkg' || n_regionkey || '/m.go' AS file_path, 'Brand#' || (s_suppkey % 5 + 1) || (s_suppkey % 4 + 1) AS receiver FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"),
-        t.sql("SELECT 't' || p_partkey AS memory_id, 'pkg' || n_regionkey || '/t' || p_partkey || '.go' AS file_path, p_brand AS symbol_name FROM {part} JOIN {nation} ON n_nationkey = p_partkey % 25"),
+        t.sql("SELECT 'm' || s_suppkey AS memory_id, 'pkg' || s_suppkey % 500 || '/m.go' AS file_path, p_brand AS receiver FROM {supplier} JOIN {part} ON p_partkey = s_suppkey"),
+        t.sql("SELECT 't' || p_partkey AS memory_id, 'pkg' || p_partkey % 500 || '/t' || p_partkey || '.go' AS file_path, p_brand AS symbol_name FROM {part}"),
     )
 )
 _PROVIDER = "SELECT 'q' || p_partkey AS provider_symbol_id, 'python' AS language, 'src/' || p_brand || '.py' AS path, p_partkey * 10 AS start_byte, p_partkey * 10 + 5 AS end_byte, CASE WHEN p_partkey % 6 = 0 THEN 'other' ELSE p_name END AS name FROM {part}"

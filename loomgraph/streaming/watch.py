@@ -39,11 +39,15 @@ def debounce(events: DataFrame, quiet: str = "75 milliseconds", most: int = 256,
 
     A batch of more than ``most`` paths keeps none: its reason is queue_overflow and it means "rescan everything". On a
     stream, ``late`` is the watermark; hints that come later are dropped by Spark, unlike in a watcher, which never drops one,
-    so a periodic full reconciliation has to follow. Works on static tables alike.
+    so a periodic full reconciliation has to follow. ``keys``,
+    such as the watched root, make independent batches that run in parallel. Works on static tables alike.
     """
     src = events.withWatermark("ts", late) if late else events
+    #: A stream of sessions needs a key; without one all hints share an empty one, which is one task's work by nature.
+    own = keys or ["__all"]
+    src = src if keys else src.withColumn("__all", F.substring("path", 1, 0))
     batch = F.session_window("ts", quiet)
-    grouped = src.groupBy(batch.alias("w"), *(keys or [])).agg(F.collect_set("path").alias("set"), F.max(reason_rank("reason")).alias("rank"), F.count(F.lit(1)).alias("hints"))
+    grouped = src.groupBy(batch.alias("w"), *own).agg(F.collect_set("path").alias("set"), F.max(reason_rank("reason")).alias("rank"), F.count(F.lit(1)).alias("hints"))
     over = F.size("set") > most
     reason = F.get(F.array(*[F.lit(r) for r in REASONS]), F.when(over, F.lit(2)).otherwise(F.col("rank")))
     return grouped.select(

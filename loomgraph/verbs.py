@@ -66,7 +66,7 @@ class Graph:
             if row is None:
                 raise SymbolNotFound(symbol, [])
             return row.asDict()
-        pool = self.nodes.where(P.has_role("kind", "callable")) if callables else self.nodes
+        pool = self.nodes.where(P.has_role("kind", "callable" if callables else "definition"))
         asked = self.spark.createDataFrame([(symbol, file or "")], "query string, file string")
         hit = (search.resolve_in_file if file else search.resolve_unique)(pool, asked).head()
         if hit["status"] == "unique":
