@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.components import connected_components
+from loomgraph.llm.components import UnionFind, connected_components
 from loomgraph.llm.grouped import map_groups
 from loomgraph.llm.shared import realign, stage
 
@@ -37,8 +38,8 @@ def _usable(x: list | None) -> bool:
     return bool(x) and all(v is not None and math.isfinite(v) for v in x) and any(x)
 
 
-def _keys(passes: int, seed: int):
-    """Rows (pass, hash, vec_id, unit vector) of usable vectors; a vector of another dimension sorts under its own."""
+def _codes(passes: int, seed: int):
+    """(vec_id, dim, unit, codes) of usable vectors: the unit vector in doubles and a hash for each pass."""
     top = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,98 +55,106 @@ def _keys(passes: int, seed: int):
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if dim not in planes:
                     planes[dim] = _projections(dim, passes, seed)
-                signs = (x @ planes[dim].T > 0).reshape(len(rows), passes, BITS)
-                codes = signs @ top
-                own = [ids[i] for i in rows]
-                raw = [v.tobytes() for v in x]
-                for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([p] * len(own), pa.int32()), pa.array([dim] * len(own), pa.int32()), pa.array(codes[:, p]), pa.array(own, pa.int64()), pa.array(raw, pa.binary())],
-                        ["pass", "dim", "hash", "vec_id", "unit"],
-                    )
+                codes = (x @ planes[dim].T > 0).reshape(len(rows), passes, BITS) @ top
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i] for i in rows], pa.int64()), pa.array([dim] * len(rows), pa.int32()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(list(codes), pa.list_(pa.int64()))],
+                    ["vec_id", "dim", "unit", "codes"],
+                )
 
     return run
 
 
+def _number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with their partition and place in it."""
+    part, at = TaskContext.get().partitionId(), 0
+    for rows in parts:
+        n = rows.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *rows.columns], ["part", "at", *rows.schema.names])
+        at += n
+
+
 def _compare(cosine: float):
-    """Verified pairs of a block: its own rows with each other and with the following block's (``own`` false)."""
+    """(vec_id, links, root) for the members of a block that link: how many pairs met here first, and the least id they reach here.
+
+    A block's own rows are compared with each other and with the following block's (``own`` false). A pair meets in a pass
+    when its places lie in the same or neighbouring blocks; each vector brings its blocks of all passes, so a pair that met
+    in an earlier pass is told apart and counted there alone. Pairs themselves never leave the block.
+    """
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = np.array(table.column("vec_id").to_pylist(), np.int64)
         own = np.array(table.column("own").to_pylist(), bool)
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
+        blocks = np.array(table.column("blocks").to_pylist(), np.int64)
+        now = table.column("pass")[0].as_py()
+        links, sets, linked = np.zeros(len(ids), np.int64), UnionFind(), np.zeros(len(ids), bool)
         first = np.flatnonzero(own)
         for a in range(0, len(first), 512):
             rows = first[a : a + 512]
-            sims = x[rows] @ x.T
-            near = sims >= cosine - 1e-9
-            near &= ids[rows][:, None] != ids[None, :]
+            near = x[rows] @ x.T >= cosine - 1e-9
             near &= ~own[None, :] | (ids[rows][:, None] < ids[None, :])
             i, j = np.nonzero(near)
-            if len(i):
-                exact = np.einsum("ij,ij->i", x[rows[i]], x[j])
-                keep = exact >= cosine
-                low, high = np.minimum(ids[rows[i]], ids[j])[keep], np.maximum(ids[rows[i]], ids[j])[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["src", "dst"])
+            i = rows[i]
+            keep = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 50_000]], x[j[k : k + 50_000]]) >= cosine for k in range(0, len(i), 50_000)]) if len(i) else np.zeros(0, bool)
+            i, j = i[keep], j[keep]
+            fresh = np.ones(len(i), bool)
+            for q in range(now):
+                fresh &= np.abs(blocks[i, q] - blocks[j, q]) > 1
+            links += np.bincount(i[fresh], minlength=len(ids)) + np.bincount(j[fresh], minlength=len(ids))
+            linked[i] = linked[j] = True
+            for p, r in zip(ids[i].tolist(), ids[j].tolist()):
+                sets.union(p, r)
+        at = np.flatnonzero(linked)
+        if len(at):
+            roots = [sets.find(v) for v in ids[at].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at]), pa.array(roots, pa.int64())], ["vec_id", "links", "root"])
 
     return run
 
 
-def near_pairs(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 1024, seed: int = 5) -> DataFrame:
-    """Pairs (src < dst) with cosine >= ``cosine`` in double precision, found by sorted passes; each once.
+def block_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 1024, seed: int = 5) -> DataFrame:
+    """(vec_id, links, root) by block and pass; the links of a vector add up to those found, the roots tie its component together.
 
-    Every pass orders the vectors by the bits of its own random projections, concatenated, then by key. The
-    order is cut into blocks of ``block`` rows; each row is compared with its block and the whole next one, so
-    a window reaches between one and two blocks. The number of passes follows the number of rows
-    (:func:`passes_needed`). Global places come from a range-partitioned sort: places within a partition,
-    plus the counts of the partitions before it.
+    Every pass orders the vectors by the bits of its own random projections, concatenated, then by key. The order is cut
+    into blocks of ``block`` rows; each row is compared with its block and the whole next one, so a window reaches between
+    one and two blocks. The number of passes follows the number of rows (:func:`passes_needed`). Only hashes and keys are
+    sorted: global places are places within a range partition plus the counts of the partitions before it.
     """
     base = vectors.selectExpr(f"cast(`{key}` as long) as vec_id", f"cast(`{vector}` as array<double>) as v").where("vec_id is not null and v is not null")
     rows = base.count()
     passes = passes_needed(rows, block, cosine)
-    keyed = base.mapInArrow(_keys(passes, seed), "pass int, dim int, hash long, vec_id long, unit binary")
+    coded = base.mapInArrow(_codes(passes, seed), "vec_id long, dim int, unit binary, codes array<long>")
+    whole = stage(coded.groupBy("vec_id").agg(F.min(F.struct("dim", "unit", "codes")).alias("s")).select("vec_id", "s.*"), "vectors")
     order = ["pass", "dim", "hash", "vec_id"]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranked = stage(dealt.mapInArrow(_number, "part int, at long, pass int, dim int, vec_id long, unit binary"), "sorted")
+    thin = whole.select("vec_id", "dim", F.posexplode("codes").alias("pass", "hash"))
+    sorted_rows = thin.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "dim", "vec_id")
+    ranked = stage(sorted_rows.mapInArrow(_number, "part int, at long, pass int, dim int, vec_id long"), "sorted")
     #: One row per partition, pass and dimension: as many as there are tasks, not as there are vectors.
     counts = ranked.groupBy("pass", "dim", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("from"))
     before = W.partitionBy("pass", "dim").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = stage(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("from")).drop("n", "from"), "starts")
-    placed = ranked.join(starts, ["pass", "dim", "part"]).withColumn("block", F.floor((F.col("at") + F.col("start")) / block).cast("long"))
-    both = F.when(F.col("block") > 0, F.array(F.struct(F.col("block").alias("block"), F.lit(True).alias("own")), F.struct((F.col("block") - 1).alias("block"), F.lit(False).alias("own")))).otherwise(
-        F.array(F.struct(F.col("block").alias("block"), F.lit(True).alias("own")))
-    )
-    dealt_out = placed.select("pass", "dim", "vec_id", "unit", F.explode(both).alias("b")).select("pass", "dim", F.col("b.block").alias("block"), F.col("b.own").alias("own"), "vec_id", "unit")
-    return map_groups(dealt_out, ["pass", "dim", "block"], _compare(cosine), "src long, dst long").distinct()
-
-
-def _number(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    part, at = TaskContext.get().partitionId(), 0
-    for rows in parts:
-        n = rows.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), *[rows.column(rows.schema.get_field_index(c)) for c in ("pass", "dim", "vec_id", "unit")]],
-            ["part", "at", "pass", "dim", "vec_id", "unit"],
-        )
-        at += n
+    placed = ranked.join(starts, ["pass", "dim", "part"]).select("vec_id", "pass", F.floor((F.col("at") + F.col("start")) / block).cast("long").alias("block"))
+    known = placed.groupBy("vec_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pass", "block"))), lambda s: s["block"]).alias("blocks"))
+    told = whole.select("vec_id", "dim", "unit").join(known, "vec_id").select("vec_id", "dim", "unit", "blocks", F.posexplode("blocks").alias("pass", "at_block"))
+    where = F.filter(F.array(F.struct(F.col("at_block").alias("block"), F.lit(True).alias("own")), F.struct((F.col("at_block") - 1).alias("block"), F.lit(False).alias("own"))), lambda s: s["block"] >= 0)
+    dealt = told.select("vec_id", "dim", "unit", "blocks", "pass", F.explode(where).alias("w")).select("pass", "dim", F.col("w.block").alias("block"), F.col("w.own").alias("own"), "vec_id", "unit", "blocks")
+    return map_groups(dealt, ["pass", "dim", "block"], _compare(cosine), "vec_id long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9, block: int = 1024, seed: int = 5) -> DataFrame:
     """Links and components of vectors: (vec_id, n_links, component_id, kept), one row per row of ``vectors``.
 
-    ``n_links`` counts the other vectors linked directly (:func:`near_pairs`), ``component_id`` is the smallest
-    vec_id reachable by links, and the vector with that id is ``kept``. Null, empty and zero vectors and those
-    with null or non-finite components link with nothing; vectors of different lengths don't link. Rows that
-    share a vec_id are one vector, linked if any of them is. A null vec_id links with nothing, has a null
-    component and is kept. Empty tables give an empty result; other columns are ignored.
+    ``n_links`` counts the other vectors linked directly (cosine >= ``cosine`` in double precision, found by
+    :func:`block_links`), ``component_id`` is the smallest vec_id reachable by links, and the vector with that id is
+    ``kept``. Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of
+    different lengths don't link. Rows that share a vec_id are one vector, of unlike ones the least. A null vec_id links
+    with nothing, has a null component and is kept. Empty tables give an empty result; other columns are ignored.
     """
-    pairs = stage(near_pairs(vectors, key, vector, cosine, block, seed), "pairs")
-    degree = pairs.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = connected_components(pairs)
-    known = labels.join(degree, "node").withColumnRenamed("node", "of")
-    return vectors.select(F.col(key).cast("long").alias("vec_id")).join(realign(known, "component"), F.col("vec_id") == F.col("of"), "left").select(
+    found = stage(block_links(vectors, key, vector, cosine, block, seed), "links")
+    degree = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("n_links"))
+    labels = connected_components(found.select("vec_id", "root"))
+    known = degree.join(labels, "node", "left").withColumnRenamed("node", "of")
+    return vectors.select(F.col(key).cast("long").alias("vec_id")).join(realign(known, "n_links"), F.col("vec_id") == F.col("of"), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import random
 import re
@@ -226,10 +227,24 @@ def test_embedding_links_match_brute_force_in_one_block(spark):
             assert (r.n_links, r.component_id, r.kept) == (n[r.vec_id], best[r.vec_id], best[r.vec_id] == r.vec_id)
 
 
-def test_embedding_recall_with_small_blocks(spark):
+@pytest.mark.parametrize("block", [32, 64])
+def test_embedding_recall_with_small_blocks(spark, block):
     rows = vectors(3, 1500)
-    links = set(brute_cosine(rows))
+    links = brute_cosine(rows)
+    want = {i: sum(i in e for e in links) for i, _ in rows}
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
-    got = {(r.src, r.dst) for r in neighbours.near_pairs(frame, block=32).collect()}
-    assert got <= links and len(got) >= 0.95 * len(links) > 100
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(frame, block=block).collect()}
+    assert all(got[i] <= n for i, n in want.items())  # no pair counts twice
+    assert sum(got.values()) >= 0.95 * sum(want.values()) > 100
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_embedding_group_of_near_copies_is_counted_without_its_pairs(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 0.01 * rng.standard_normal(16)).tolist()) for i in range(300)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(300)]
+    frame = spark.createDataFrame([*rows, rows[0], rows[0]], "vec_id long, embedding array<double>").repartition(4)
+    assert neighbours.block_links(frame, block=512).count() < 3000
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(frame, block=512).collect()}
+    want = collections.Counter(i for e in brute_cosine(rows) for i in e)
+    assert all(got[i] == (want[i], 0) for i in range(300)) and want[0] >= 299
