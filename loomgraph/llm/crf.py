@@ -100,10 +100,11 @@ class Model:
         return out
 
 
-def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray, begin: np.ndarray, expect: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label probabilities of every word, expected moves (K, K) and expected first labels (K) of chains laid end to end.
 
-    Chains are sorted by length, so that step t works on all chains longer than t with one matrix product.
+    Chains are sorted by length, so that step t works on all chains longer than t with one matrix product. ``scores`` is
+    overwritten; without ``expect``, as in prediction, the expected moves stay zero.
     """
     k = scores.shape[1]
     full = counts[counts > 0]
@@ -112,7 +113,8 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray,
     first = np.cumsum(full) - full
     order = np.argsort(-full, kind="stable")
     heads, sizes = first[order], full[order]
-    local = np.exp(scores - scores.max(axis=1, keepdims=True))
+    scores -= scores.max(axis=1, keepdims=True)
+    local = np.exp(scores, out=scores)
     step = np.exp(moves - moves.max())
     ahead, back = np.empty_like(local), np.ones_like(local)
     alive = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), side="right")  # chains with more than t words
@@ -133,9 +135,11 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray,
         now = onward @ step.T
         now /= now.sum(axis=1, keepdims=True)
         back[at] = now
+        if not expect:
+            continue
         pair = ahead[at][:, :, None] * step[None] * onward[:, None, :]
         expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-    prob = ahead * back
+    prob = np.multiply(ahead, back, out=ahead)
     prob /= prob.sum(axis=1, keepdims=True)
     return prob, expected, prob[heads].sum(axis=0)
 
@@ -213,14 +217,15 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, span: int = 24, r
 def label_words(model: Model, texts: list[str | None]) -> list[np.ndarray]:
     """Label probabilities (words, labels) of each text's words, by forward-backward over the whole text."""
     parts, sizes = [], []
-    for a, b in textkit.batches(texts, 1 << 20):
+    for a, b in textkit.batches(texts, 1 << 19):
         f, counts = features(texts[a:b], model.lexicon)
         parts.append(model.scores(f))
         sizes.append(counts)
     if not parts:
         return []
-    counts = np.concatenate(sizes)
-    prob, _, _ = forward_backward(np.concatenate(parts), counts, model.moves, model.begin)
+    counts, scores = np.concatenate(sizes), np.concatenate(parts)
+    del parts
+    prob, _, _ = forward_backward(scores, counts, model.moves, model.begin, expect=False)
     return np.split(prob, np.cumsum(counts)[:-1])
 
 
@@ -254,7 +259,7 @@ def _predict(shared):
         model = shared.value
         for part in parts:
             texts, lettered = part.column(2).to_pylist(), part.column(3).to_pylist()
-            for a, b in textkit.batches(texts, 1 << 23):
+            for a, b in textkit.batches(texts, 1 << 22):
                 pred, score = [], []
                 for prob, ok in zip(label_words(model, texts[a:b]), lettered[a:b]):
                     if not ok or not len(prob) or not model.labels:

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 18
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_rng.integers(1, 2**62)) * 8 + 5
@@ -111,7 +111,7 @@ def shingles(words: np.ndarray, counts: np.ndarray, n: int = 5) -> list[np.ndarr
     return out
 
 
-def batches(texts: Sequence[str | None], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def batches(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` characters together; a longer text is a run of its own."""
     at = size = 0
     for i, x in enumerate(texts):
