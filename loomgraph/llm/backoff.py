@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textkit
+from loomgraph.llm.grouped import map_batches
 from loomgraph.llm.shared import stage
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # stands for the end of a text; no word has this hash but by chance
@@ -123,7 +124,7 @@ def fit(rows: DataFrame, head_words: int = 1 << 18, states: int = 1 << 10, prior
     """
     spark = rows.sparkSession
     train = rows.where(~F.col("held_out")).select("text")
-    counts = stage(train.mapInArrow(_unique_counts(), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    counts = stage(map_batches(train, _unique_counts(), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
     steps = sorted(((r["step"], r["types"], r["tokens"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()), reverse=True)
     total, types = sum(s[2] for s in steps), sum(s[1] for s in steps)
@@ -145,7 +146,7 @@ def fit(rows: DataFrame, head_words: int = 1 << 18, states: int = 1 << 10, prior
     size = len(frequent)
     model = Automaton(tokens, n, state, np.full((size + 1, size), np.nan, np.float32), np.zeros(size + 1), total, types)
     shared = spark.sparkContext.broadcast(model)
-    pairs = train.mapInArrow(_pair_counts(shared, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = map_batches(train, _pair_counts(shared, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     seen = np.zeros((size + 1) * (size + 1), np.int64)  # the last column counts all tokens after a state
     found = pairs.toPandas()
     seen[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
@@ -233,7 +234,7 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", fo
     model, counts = fit(rows, **model_options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = stage(numbered.mapInArrow(_score(shared), _SCORED), "scored")
+    scored = stage(map_batches(numbered, _score(shared), _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
     seen = rare.join(counts, "token").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
     more = F.coalesce("more", F.lit(0.0))

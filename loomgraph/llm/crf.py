@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textkit
+from loomgraph.llm.grouped import map_batches
 from loomgraph.llm.shared import stage
 
 GRAM_BITS = 16
@@ -290,7 +291,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.coalesce(code % folds == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered")
     )
-    return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(rows, _predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, found: DataFrame, key: str = "doc_id", least: float = 0.4) -> DataFrame:

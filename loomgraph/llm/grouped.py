@@ -37,6 +37,20 @@ def groups(parts: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield held
 
 
+#: Bytes of an Arrow batch handed to Python, where the session keeps Spark's own default. A batch is held several
+#: times over (vectors that double as they grow, the stream, strings of up to four bytes a character).
+BATCH_BYTES, SPARK_BYTES = 8 << 20, 64 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over rows with whole texts or sets: the session's batches become BATCH_BYTES unless it named a size."""
+    conf = df.sparkSession.conf
+    if conf.get(_BYTES).rstrip("b") == str(SPARK_BYTES):
+        conf.set(_BYTES, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply ``fn`` to the rows of each key (non-null columns ``keys``). The caller bounds the groups."""
 
@@ -44,4 +58,4 @@ def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator
         for table in groups(parts, keys):
             yield from fn(table)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return map_batches(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.grouped import map_batches
+
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 #: Fixed value of the byte-level vocabularies: the pattern that splits a text before merging.
@@ -174,4 +176,4 @@ def pack(
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text").mapInArrow(run, PIECE)
+    return map_batches(docs.selectExpr(f"cast(`{key}` as long) as doc_id", f"`{text}` as text"), run, PIECE)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.llm.grouped import map_batches
 from loomgraph.llm.shared import stage
 
 #: Titles with the gender they state (m, f, or n for either), and given names that state one.
@@ -264,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", id: str = "doc
     gives an empty result; other columns are ignored. Only surrogates that collided at first are joined to texts.
     """
     src = docs.selectExpr(f"cast(`{id}` as long) as doc_id", f"`{text}` as text")
-    found = stage(src.mapInArrow(_find(key), "doc_id long, kind string, entity string, surrogate string"), "entities")
+    found = stage(map_batches(src, _find(key), "doc_id long, kind string, entity string, surrogate string"), "entities")
     moved = assign(found, key).where("attempt > 0").select("kind", "entity", F.col("surrogate").alias("new"))
     change = F.struct("kind", "entity", F.col("new").alias("surrogate"))
     by_doc = stage(found.select("doc_id", "kind", "entity").join(moved, ["kind", "entity"]).groupBy("doc_id").agg(F.collect_set(change).alias("changes")), "changes")
@@ -272,4 +273,4 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", id: str = "doc
         rows = src.withColumn("changes", F.lit(None).cast(by_doc.schema["changes"].dataType))
     else:
         rows = src.join(by_doc.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
-    return rows.select("doc_id", "text", "changes").mapInArrow(_apply(key), "doc_id long, text string, n_entities long")
+    return map_batches(rows.select("doc_id", "text", "changes"), _apply(key), "doc_id long, text string, n_entities long")
