@@ -248,3 +248,19 @@ def test_embedding_group_of_near_copies_is_counted_without_its_pairs(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(frame, block=512).collect()}
     want = collections.Counter(i for e in brute_cosine(rows) for i in e)
     assert all(got[i] == (want[i], 0) for i in range(300)) and want[0] >= 299
+
+
+def test_embedding_groups_of_many_blocks_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    copied, centre, loose = rng.standard_normal((3, 16))
+    rows = [(i, copied.tolist()) for i in range(200)]
+    rows += [(1000 + i, (centre + 0.01 * rng.standard_normal(16)).tolist()) for i in range(200)]
+    rows += [(2000 + i, (loose + 0.2 * rng.standard_normal(16)).tolist()) for i in range(200)]
+    rows += [(3000 + i, (copied + 0.05 * rng.standard_normal(16)).tolist()) for i in range(3)]
+    rows += [(4000 + i, rng.standard_normal(16).tolist()) for i in range(200)]
+    links = brute_cosine(rows)
+    want, best = collections.Counter(i for e in links for i in e), closure([i for i, _ in rows], links)
+    got = {r.vec_id: r for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), block=32).collect()}
+    assert all(got[i].n_links == want[i] and got[i].component_id == best[i] for i in (*range(200), *range(1000, 1200)))
+    assert all(got[i].n_links <= want[i] for i, _ in rows)
+    assert sum(got[i].n_links for i in range(2000, 2200)) >= 0.99 * sum(want[i] for i in range(2000, 2200)) > 10_000
