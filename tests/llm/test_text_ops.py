@@ -367,6 +367,18 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or "")) + [None]
 
 
+@pytest.mark.parametrize(
+    ("body", "kind"),
+    [("a@b.c", "email"), ("8.8.8.8", "ip"), ("1.10.1.1", "ip"), ("1.1.255.1", "ip"), ("NO9386011117947", "iban"), ("4222222222222", "card"), ("4 2 2 2 2 2 2 2 2 2 2 2 2", "card"), ("123-45-6789", "ssn"),
+     ("+1 (2) 34 56", "phone"), ("+1 2 34 56", "phone"), ("+12 34 56", "phone"), ("(123)456-7890", "phone"), ("123.456.7890", "phone"), ("sr X.", "person"), ("Dr. Xu", "person")],
+)
+def test_hint_lets_every_shortest_match_pass(body, kind):
+    for text in (body, f"is {body} up", f"é {body}"):
+        assert surrogates.PATTERN.search(text).group(kind) and surrogates._HINT.search(text)
+    if kind != "person":
+        assert [k for *_, k, _ in surrogates.detect(f"is {body} up")] == [k for *_, k, _ in surrogates.detect(f"q@r.st {body}")][1:]
+
+
 def brute_scores(rows, states, prior=100.0, least=2):
     train = [words(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
     count = collections.Counter(w for t in train for w in t)
