@@ -1,11 +1,14 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the root and one state for each of the most frequent words (and the start of a text); a text is
-in the state of the last such word it has passed. A state has an arc for each frequent word seen after it at
-least twice, weighted by its smoothed probability, and one failure arc to the root, weighted so that the
-probabilities of a state sum to one. The root has an arc for every word of the training texts and one for
-unknown words. Unigram counts cover all words: those of the largest counts are broadcast, a table of fixed
-size; the others are joined as a distributed table.
+States are the root, the start of a text and every word of the training texts: a text is in the state of the
+word before, or in the root after a word never seen in training. A state has an arc for each word seen after it
+at least twice, weighted by its smoothed probability, and one failure arc to the root, weighted so that the
+probabilities of a state sum to one; a state without arcs is as the root. The root has an arc for every word and
+one for unknown words. Counts of words and of pairs are distributed tables that grow with the input; those of the
+largest counts are broadcast as caches of fixed size, and texts are joined with the others.
+
+With ``states`` set, only so many of the most frequent words are states, a text is in that of the last such word
+it has passed, and all arcs are broadcast.
 """
 
 from __future__ import annotations
@@ -15,14 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textkit
 from loomgraph.llm.grouped import map_batches
-from loomgraph.llm.shared import stage
+from loomgraph.llm.shared import realign, stage
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # stands for the end of a text; no word has this hash but by chance
+START = np.uint64(0x57A2757A2757A275)  # stands for the start of a text before its first word
 
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -31,6 +35,50 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END), counts + 1
 
 
+def _before(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The token before each, START for the first of a text."""
+    out = np.roll(tokens, 1)
+    out[np.cumsum(counts) - counts] = START
+    return out
+
+
+def _pair_hash(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return textkit.mix(before * np.uint64(0x9E3779B97F4A7C15) + textkit.mix(tokens))
+
+
+def _unique_pairs(flush: int = 2_000_000):
+    """Occurrences by pair of neighbouring tokens over the training rows of a partition, passed on whenever many are held."""
+
+    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        u, w = (np.concatenate(x) for x in zip(*held))
+        _, at, n = np.unique(_pair_hash(u, w), return_index=True, return_counts=True)
+        for a in range(0, len(at), 200_000):
+            k = at[a : a + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(u[k].view(np.int64)), pa.array(w[k].view(np.int64)), pa.array(n[a : a + 200_000].astype(np.int64))], ["u", "w", "n"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts:
+            texts = part.column(0).to_pylist()
+            for a, b in textkit.batches(texts):
+                tokens, counts = _tokens(texts[a:b])
+                held.append((_before(tokens, counts), tokens))
+                size += len(tokens)
+                if size >= flush:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return run
+
+
+def _with_hash(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        u, w = (np.array(part.column(i), np.int64).view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(_pair_hash(u, w).view(np.int64)), part.column(2), part.column(3)], ["pair", "gain", "n"])
+
+
 def _unique_counts(flush: int = 3_000_000):
     """Occurrences by token over the training rows of a partition, passed on whenever many are held."""
 
@@ -115,36 +163,100 @@ def split_rows(docs: DataFrame, text: str, key: str, folds: int, held: int) -> D
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(code % folds == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
 
 
-def fit(rows: DataFrame, head_words: int = 1 << 18, states: int = 1 << 10, prior: float = 100.0, least: int = 2) -> tuple[Automaton, DataFrame]:
+def _largest(counts: DataFrame, most: int) -> tuple[Column, int | None, int, int]:
+    """A step for each count and the least step of which, with all above, at most ``most`` rows are; sum and number of counts."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    steps = sorted(((r["step"], r["types"], r["tokens"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()), reverse=True)
+    taken, lowest = 0, None
+    for s, n, _ in steps:
+        if taken + n > most:
+            break
+        taken, lowest = taken + n, s
+    return step, lowest, sum(s[2] for s in steps), sum(s[1] for s in steps)
+
+
+@dataclass
+class PairCache:
+    """``pairs``: sorted hashes of the broadcast arcs; ``gain``: their log10 weight over that of the way through the root.
+    ``failure``: log10 weights of the failure arcs of the words in the automaton's ``head``; ``start``: of a text's start."""
+
+    pairs: np.ndarray
+    gain: np.ndarray
+    failure: np.ndarray
+    start: float
+
+    def score(self, tokens: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By text: what the broadcast arcs and failure arcs add to the unigram score; by token: the pair it ends, and whether it is to be joined."""
+        pairs = _pair_hash(_before(tokens, counts), tokens)
+        add = np.where(at >= 0, self.failure[at], 0.0) if len(self.failure) else np.zeros(len(tokens))
+        outside = np.ones(len(tokens), bool)
+        if len(self.pairs):
+            place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            outside = self.pairs[place] != pairs
+            add += np.where(outside, 0.0, self.gain[place])
+        return np.add.reduceat(add, np.cumsum(counts) - counts) + self.start, pairs, outside
+
+
+def fit_pairs(rows: DataFrame, model: Automaton, counts: DataFrame, head_arcs: int = 1 << 19, prior: float = 100.0, least: int = 2) -> tuple[PairCache, DataFrame, DataFrame]:
+    """All arcs between words over the rows not held out: the cache, the arcs outside it (pair, gain) and the failure arcs (u, failure).
+
+    ``head_arcs`` bounds the broadcast arcs, not the arcs. Every count is that of the whole training fold.
+    """
+    train = rows.where(~F.col("held_out")).select("text")
+    kept = stage(map_batches(train, _unique_pairs(), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
+    start, end = int(START.astype(np.int64)), int(END.astype(np.int64))
+    #: Each text ends once and starts once.
+    after = counts.where(F.col("token") != end).union(counts.where(F.col("token") == end).select(F.lit(start).alias("token"), "n"))
+    root = (F.col("nw") + 1.0) / F.lit(float(model.total + model.types + 1))
+    known = kept.join(counts.select(F.col("token").alias("w"), F.col("n").alias("nw")), "w").withColumn("root", root)
+    prob = (F.col("n") + prior * F.col("root")) / (F.col("nu") + prior)
+    weighted = stage(known.join(after.select(F.col("token").alias("u"), F.col("n").alias("nu")), "u").select("u", "w", "n", "root", prob.alias("prob")), "weighted")
+    failures = stage(weighted.groupBy("u").agg(F.log10((1 - F.sum("prob")) / (1 - F.sum("root"))).alias("failure")), "failures")
+    arcs = stage(weighted.join(failures, "u").select("u", "w", (F.log10(F.col("prob") / F.col("root")) - F.col("failure")).alias("gain"), "n").mapInArrow(_with_hash, "pair long, gain double, n long"), "arcs")
+    step, lowest, _, _ = _largest(arcs, head_arcs)
+    failure, pairs, gain = np.zeros(len(model.head)), np.zeros(0, np.uint64), np.zeros(0)
+    if lowest is not None:
+        head = arcs.where(step >= F.lit(lowest)).select("pair", "gain").toArrow()
+        pairs = head["pair"].to_numpy().view(np.uint64)
+        order = np.argsort(pairs)
+        pairs, gain = pairs[order], head["gain"].to_numpy()[order]
+        arcs = arcs.where(step < F.lit(lowest))
+    if len(model.head):
+        least_count = int(model.count.min())
+        words = counts.where(F.col("n") >= least_count).select(F.col("token").alias("u"))
+        found = failures.join(words, "u").toArrow()
+        at = model.look_up(found["u"].to_numpy().view(np.uint64))
+        failure[at[at >= 0]] = found["failure"].to_numpy()[at >= 0]
+    first = failures.where(F.col("u") == start).take(1)
+    return PairCache(pairs, gain, failure, first[0]["failure"] if first else 0.0), arcs.select("pair", "gain"), failures
+
+
+def fit(rows: DataFrame, head_words: int = 1 << 18, states: int | None = None, prior: float = 100.0, least: int = 2) -> tuple[Automaton, DataFrame]:
     """The automaton over the rows not held out, and the table of all counts (token, n).
 
-    ``head_words`` bounds the broadcast words and ``states`` the context words, so a broadcast of the model is
-    bounded by 16 * head_words + 4 * (states + 1) * states bytes at any input size. Arcs are smoothed towards the
+    ``head_words`` bounds the broadcast words. Without ``states`` the automaton is that of the root alone, to which
+    :func:`fit_pairs` adds the arcs of all words; ``states`` bounds the context words, and a broadcast of that model
+    by 16 * head_words + 4 * (states + 1) * states bytes at any input size. Arcs are smoothed towards the
     root with ``prior`` pseudo-counts; pairs seen fewer than ``least`` times have no arc.
     """
     spark = rows.sparkSession
     train = rows.where(~F.col("held_out")).select("text")
     counts = stage(map_batches(train, _unique_counts(), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    steps = sorted(((r["step"], r["types"], r["tokens"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()), reverse=True)
-    total, types = sum(s[2] for s in steps), sum(s[1] for s in steps)
-    taken, lowest = 0, None
-    for s, n, _ in steps:
-        if taken + n > head_words:
-            break
-        taken, lowest = taken + n, s
-    head = counts.where(step >= F.lit(lowest)).toPandas() if lowest is not None else None
-    if head is None or not len(head):
+    step, lowest, total, types = _largest(counts, head_words)
+    head = counts.where(step >= F.lit(lowest)).toArrow() if lowest is not None else None
+    if head is None or not head.num_rows:
         empty = np.zeros(0, np.uint64)
         return Automaton(empty, np.zeros(0), np.zeros(0, np.int64), np.zeros((1, 0), np.float32), np.zeros(1), total, types), counts
-    tokens, n = head["token"].to_numpy(np.int64).view(np.uint64), head["n"].to_numpy(np.int64)
+    tokens, n = head["token"].to_numpy().view(np.uint64), head["n"].to_numpy()
     order = np.argsort(tokens)
     tokens, n = tokens[order], n[order]
-    frequent = np.lexsort((tokens, -n))[:states]
+    frequent = np.lexsort((tokens, -n))[: states or 0]
     state = np.full(len(tokens), -1, np.int64)
     state[frequent] = np.arange(len(frequent))
     size = len(frequent)
     model = Automaton(tokens, n, state, np.full((size + 1, size), np.nan, np.float32), np.zeros(size + 1), total, types)
+    if not size:
+        return model, counts
     shared = spark.sparkContext.broadcast(model)
     pairs = map_batches(train, _pair_counts(shared, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     seen = np.zeros((size + 1) * (size + 1), np.int64)  # the last column counts all tokens after a state
@@ -187,17 +299,22 @@ def _pair_counts(shared, size: int):
     return run
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, weight double, rare array<long>, times array<long>"
+_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, weight double, rare array<long>, times array<long>, pairs array<long>"
 
 
 def _score(shared):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, cache = shared.value
         for part in parts:
             texts = part.column(3).to_pylist()
             for a, b in textkit.batches(texts):
                 tokens, counts = _tokens(texts[a:b])
                 weight, logs, known, outside = model.score(tokens, counts)
+                joined = [np.zeros(0, np.int64)] * (b - a)
+                if cache is not None:
+                    add, pairs, far = cache.score(tokens, counts, model.look_up(tokens))
+                    weight = weight + add
+                    joined = np.split(pairs[far].view(np.int64), np.cumsum(np.add.reduceat(far.astype(np.int64), np.cumsum(counts) - counts))[:-1])
                 text_of = np.repeat(np.arange(b - a), counts)[outside]
                 rare, times = [], []
                 cuts = np.searchsorted(text_of, np.arange(1, b - a))
@@ -214,6 +331,7 @@ def _score(shared):
                         pa.array(weight),
                         pa.array(rare, pa.list_(pa.int64())),
                         pa.array(times, pa.list_(pa.int64())),
+                        pa.array(joined, pa.list_(pa.int64())),
                     ],
                     [x.split()[0] for x in _SCORED.split(", ")],
                 )
@@ -221,7 +339,7 @@ def _score(shared):
     return run
 
 
-def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2, **model_options: float) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2, states: int | None = None, head_arcs: int = 1 << 19, **model_options: float) -> DataFrame:
     """Scores of all documents under a model learned from those outside the held fold, whole texts:
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
@@ -231,20 +349,30 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", fo
     counts are zero. An empty table gives an empty result; other columns are ignored.
     """
     rows = split_rows(docs, text, key, folds, held)
-    model, counts = fit(rows, **model_options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model, counts = fit(rows, states=states, **model_options)
+    cache = arcs = failures = None
+    if states is None:
+        cache, arcs, failures = fit_pairs(rows, model, counts, head_arcs, **{k: v for k, v in model_options.items() if k != "head_words"})
+    shared = docs.sparkSession.sparkContext.broadcast((model, cache))
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     scored = stage(map_batches(numbered, _score(shared), _SCORED), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    seen = rare.join(counts, "token").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
+    weights = counts.withColumn("failure", F.lit(0.0)) if failures is None else counts.join(failures.withColumnRenamed("u", "token"), "token", "left")
+    sums = lambda x: F.sum(F.col("times") * x)
+    seen = rare.join(realign(weights, "n"), "token").groupBy("row").agg(sums(F.log10(F.col("n") + 1.0)).alias("more"), sums(F.coalesce("failure", F.lit(0.0))).alias("fails"), F.sum("times").alias("found"))
     more = F.coalesce("more", F.lit(0.0))
     scale = float(np.log10(model.total + model.types + 1.0))
-    return scored.drop("rare", "times").join(seen.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left").select(
+    out = scored.drop("rare", "times", "pairs").join(seen.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left").drop("of")
+    gains = F.lit(0.0)
+    if arcs is not None:
+        gained = scored.select("row", F.explode("pairs").alias("pair")).join(arcs, "pair").groupBy(F.col("row").alias("by")).agg(F.sum("gain").alias("gains"))
+        out, gains = out.join(gained, F.col("row") == F.col("by"), "left"), F.coalesce("gains", F.lit(0.0))
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("logs") + more - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        (F.col("weight") + more).alias("score"),
+        (F.col("weight") + more + F.coalesce("fails", F.lit(0.0)) + gains).alias("score"),
     )

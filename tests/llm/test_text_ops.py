@@ -443,3 +443,26 @@ def test_automaton_states_sum_to_one(spark):
 
 def test_scores_of_an_empty_table(spark):
     assert backoff.score_documents(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("caches", [{}, {"head_words": 40, "head_arcs": 30}, {"head_words": 0, "head_arcs": 0}])
+def test_every_word_is_a_state_of_the_backoff_model(spark, caches):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(1500)} x{rng.randrange(9)}" for _ in range(60))) for i in range(100)]
+    rows += [(1000 + i, f"w{i} rare{i % 40} next{i % 40} unseen{i} w1") for i in range(200)] + [(5000, None), (None, "w1 x2")]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    texts = {i: ["", *(t or "").split(), None] for i, t in rows}
+    train = [t for i, t in texts.items() if not held(i)]
+    count, pair = collections.Counter(w for t in train for w in t[1:]), collections.Counter(p for t in train for p in zip(t, t[1:]))
+    assert len(count) > 1100 and any(held(i) and w not in count for i, t in texts.items() for w in t[1:])
+    total, types, after = sum(count.values()), len(count), collections.Counter(u for t in train for u in t[:-1])
+    root = lambda w: (count[w] + 1) / (total + types + 1)
+    prob = {(u, w): (n + 100 * root(w)) / (after[u] + 100) for (u, w), n in pair.items() if n >= 2}
+    left, free = collections.Counter(), collections.Counter()
+    for (u, w), x in prob.items():
+        left[u] += x
+        free[u] += root(w)
+    got = {r.doc_id: r for r in backoff.score_documents(docs(spark, rows).repartition(3), **caches).collect()}
+    for i, t in texts.items():
+        want = sum(math.log10(prob.get((u, w), (1 - left[u]) / (1 - free[u]) * root(w))) for u, w in zip(t, t[1:]))
+        assert math.isclose(got[i].score, want, rel_tol=1e-6) and got[i].n_known == sum(w in count for w in t[1:]), (i, got[i], want)
