@@ -214,6 +214,7 @@ query(
         t.edges.where("kind in ('contains', 'depends_on') and dst not like 'c%' and dst not like 's%'").withColumn("weight", F.lit(1.0)), t.spark.createDataFrame([("r0",)], "seed string"), max_depth=1
     ).withColumn("score", F.round("score", 6))
 )
-query("o75_betweenness", None)(
-    lambda t: N.betweenness(t.nodes.where("kind in ('module', 'namespace', 'struct')"), t.edges.where("src not like 'o%' and dst not like 'p%' and dst not like 'c%' and dst not like 'o%' and src not like 'p%'"), 20)
-)
+query("o75_betweenness", None)(lambda t: N.betweenness(t.nodes, t.edges))
+#: The two above are held against SQL over a part of the graph; these run the operators' defaults over all of it.
+query("o76_depth_from_entries_whole", None)(lambda t: N.depth_from_entries(t.nodes, t.edges))
+query("o62_seed_expansion_whole", None)(lambda t: N.expand(t.edges.withColumn("weight", F.lit(1.0)), t.spark.createDataFrame([("r0",)], "seed string")).withColumn("score", F.round("score", 6)))

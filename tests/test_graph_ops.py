@@ -5,17 +5,20 @@ from __future__ import annotations
 import collections
 import itertools
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomgraph import catalog
 from loomgraph.errors import SymbolAmbiguous, SymbolNotFound
 from loomgraph.functions import predicates as P
 from loomgraph.functions import source_text as S
 from loomgraph.operators import build, changes, classify, enrich, evidence, grep, rollup, search
 from loomgraph.plans import walk
+from loomgraph.queries import base
 from loomgraph.verbs import RECEIPTS, Graph
 
 from graphs import consistency, edge, frames, node
@@ -315,3 +318,28 @@ def test_reverse_filter_applies_after_the_walk(spark, graph):
     g = Graph(spark, {"nodes": graph[0], "edges": graph[1]})
     assert {r.node for r in g.blast_radius("util", 3, "test_only").collect()} == {"test_helper", "test_handler"}
     assert g.nodes.where(F.col("memory_id") == "x").count() == 0
+
+
+def test_whole_graph_queries_match_brute_force(spark, monkeypatch):
+    rng = random.Random(7)
+    ids = sorted(f"{'opcs'[i % 4]}{i:02d}" for i in range(60))
+    pairs = sorted({(a, b) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(90)) if a != b} | {("r0", "c02"), ("r0", "o00")})
+    chain = [f"z{i}" for i in range(6)]
+    pairs += list(itertools.pairwise(chain))
+    ids = sorted([*ids, "r0", *chain])
+    graph = frames(spark, [node(i, cls="wired" if i == "z0" else "dead") for i in ids], [edge(a, b) for a, b in pairs])
+    monkeypatch.setattr(base, "Tables", lambda spark, _: SimpleNamespace(spark=spark, nodes=graph[0], edges=graph[1]))
+    run = lambda name: catalog.queries()[name](spark, "")
+    got, want = as_map(run("o75_betweenness"), "memory_id", "betweenness"), brandes(ids, pairs, ids)
+    assert got.keys() == set(ids) and all(abs(got[k] - want[k]) < 1e-9 for k in ids) and max(want.values()) > 0
+    assert as_map(run("o76_depth_from_entries_whole"), "memory_id", "depth") == {z: i for i, z in enumerate(chain)}
+    near, seen, out = collections.defaultdict(set), {"r0"}, []
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    front = {"r0"}
+    for depth in (1, 2, 3):
+        front = {b for a in front for b in near[a]} - seen
+        seen |= front
+        out += [(b, round(0.7 * 0.5**depth, 6), depth) for b in sorted(front)]
+    assert [(r.node, r.score, r.depth) for r in run("o62_seed_expansion_whole").collect()] == out[:20] and out[min(len(out), 20) - 1][2] > 1
