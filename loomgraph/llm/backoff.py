@@ -1,33 +1,41 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-States are the root, the start of a text and every word of the training texts: a text is in the state of the
-word before, or in the root after a word never seen in training. A state has an arc for each word seen after it
-at least twice, weighted by its smoothed probability, and one failure arc to the root, weighted so that the
-probabilities of a state sum to one; a state without arcs is as the root. The root has an arc for every word and
-one for unknown words. Counts of words and of pairs are distributed tables that grow with the input; those of the
-largest counts are broadcast as caches of fixed size, and texts are joined with the others.
-
-With ``states`` set, only so many of the most frequent words are states, a text is in that of the last such word
-it has passed, and all arcs are broadcast.
+"""Language-model scoring with a weighted backoff automaton of order three.
+
+States are the n-grams of up to two tokens that occur in the training texts, and the root. A state has an arc for
+each token seen after it and one failure arc to the state of its last token (of one token: to the root). With N
+occurrences of a state, n of them before a token, a prior of k pseudo-counts and the next shorter state's probability
+p of the token, the arc weighs (n + k * p) / (N + k) and the failure arc k / (N + k), so that the probabilities of a
+state sum to one. The root has an arc for every word, and one for unknown words: (n + 1) / (tokens + types + 1).
+No n-gram is left out and no table is broadcast: counts are those of the whole training fold.
+
+The automaton is never in one place. Texts are cut into chunks of whole texts; each chunk asks for the counts of the
+distinct n-grams of its texts, sorted by hash and cut into buckets. A bucket adds up what all chunks hold of its
+n-grams and answers each. So a chunk holds the part of the automaton that its texts can reach, and walks through each
+of them once from left to right. N-grams are told by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import textkit
-from loomgraph.llm.grouped import map_batches
-from loomgraph.llm.shared import realign, stage
+from loomgraph.llm.grouped import map_batches, map_groups
+from loomgraph.llm.shared import stage
 
 END = np.uint64(0x0E0D0E0D0E0D0E0D)  # stands for the end of a text; no word has this hash but by chance
 START = np.uint64(0x57A2757A2757A275)  # stands for the start of a text before its first word
 
+_ASKED = "kind int, bucket int, chunk long, prefixes binary, low binary, seen binary"
+_TOLD = "chunk long, kind int, bucket int, body binary, tokens long, types long"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
 
 def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the texts, each closed by END, and their counts."""
@@ -35,344 +43,287 @@ def _tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END), counts + 1
 
 
-def _before(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The token before each, START for the first of a text."""
-    out = np.roll(tokens, 1)
-    out[np.cumsum(counts) - counts] = START
+def _follow(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram from those of its head and its last token."""
+    return textkit.mix(before * np.uint64(0x9E3779B97F4A7C15) + textkit.mix(last))
+
+
+def _shift(x: np.ndarray, firsts: np.ndarray, first: np.uint64 | int) -> np.ndarray:
+    """What stands one token before each; ``first`` before the first token of a text."""
+    out = np.roll(x, 1)
+    out[firsts] = first
     return out
 
 
-def _pair_hash(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    return textkit.mix(before * np.uint64(0x9E3779B97F4A7C15) + textkit.mix(tokens))
+def _pack(*columns: np.ndarray) -> bytes:
+    return zstandard.compress(np.concatenate([c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.ravel() for c in columns]).tobytes(), 1)
 
 
-def _unique_pairs(flush: int = 2_000_000):
-    """Occurrences by pair of neighbouring tokens over the training rows of a partition, passed on whenever many are held."""
+def _unpack(body: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(body), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(c.T).view(np.int64).ravel() for c in raw]
 
-    def out(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        u, w = (np.concatenate(x) for x in zip(*held))
-        _, at, n = np.unique(_pair_hash(u, w), return_index=True, return_counts=True)
-        for a in range(0, len(at), 200_000):
-            k = at[a : a + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u[k].view(np.int64)), pa.array(w[k].view(np.int64)), pa.array(n[a : a + 200_000].astype(np.int64))], ["u", "w", "n"])
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for part in parts:
-            texts = part.column(0).to_pylist()
-            for a, b in textkit.batches(texts):
-                tokens, counts = _tokens(texts[a:b])
-                held.append((_before(tokens, counts), tokens))
-                size += len(tokens)
-                if size >= flush:
-                    yield from out(held)
-                    held, size = [], 0
-        if held:
-            yield from out(held)
+def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """The buckets (bucket, begin, end) of sorted hashes; a bucket has the hashes with equal leading ``bits``."""
+    if not len(keys):
+        return []
+    of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    return list(zip(of[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(keys)]))
 
-    return run
 
+def _shorten(keys: np.ndarray, bucket: int, bits: int) -> tuple[bytes, bytes]:
+    """Sorted hashes of a bucket in six bytes each: how many have each value of the two leading bytes, and the rest."""
+    rest = max(0, 16 - bits)
+    lead = (keys >> np.uint64(48)).astype(np.int64) - ((bucket << rest) if bits <= 16 else bucket >> (bits - 16))
+    return _pack(np.bincount(lead, minlength=1 << rest)), keys.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
-def _with_hash(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        u, w = (np.array(part.column(i), np.int64).view(np.uint64) for i in range(2))
-        yield pa.RecordBatch.from_arrays([pa.array(_pair_hash(u, w).view(np.int64)), part.column(2), part.column(3)], ["pair", "gain", "n"])
 
+def _lengthen(prefixes: bytes, low: bytes, bucket: int, bits: int) -> np.ndarray:
+    rest = max(0, 16 - bits)
+    full = np.zeros((len(low) // 6, 8), np.uint8)
+    full[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    lead = np.repeat(np.arange(1 << rest), _unpack(prefixes, 1)[0]) + ((bucket << rest) if bits <= 16 else bucket >> (bits - 16))
+    return full.view(np.uint64).ravel() | (lead.astype(np.uint64) << np.uint64(48))
 
-def _unique_counts(flush: int = 3_000_000):
-    """Occurrences by token over the training rows of a partition, passed on whenever many are held."""
 
-    def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        for a in range(0, len(keys), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 200_000].view(np.int64)), pa.array(n[a : a + 200_000].astype(np.int64))], ["token", "n"])
+def split_rows(docs: DataFrame, text: str, key: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, held_out, text); a null doc_id is never held out."""
+    code = F.crc32(F.col(key).cast("string").cast("binary"))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(code % folds == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+
+
+def _chunks(limit: int):
+    """Rows gathered to chunks of about ``limit`` characters, as compressed Arrow streams; a longer text is one of its own."""
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        size = sum(len(x) for x in table.column("text").to_pylist() if x)
+        return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["size", "body"])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in parts:
-            texts = part.column(0).to_pylist()
-            for a, b in textkit.batches(texts):
-                held.append(_tokens(texts[a:b])[0])
-                size += len(held[-1])
-                if size >= flush:
-                    yield from out(held)
+            texts = part.column(2).to_pylist()
+            for a, b in textkit.batches(texts, 1 << 20):
+                more = sum(len(x) for x in texts[a:b] if x)
+                if held and size + more > limit:
+                    yield out(held)
                     held, size = [], 0
+                held.append(part.slice(a, b - a))
+                size += more
         if held:
-            yield from out(held)
+            yield out(held)
 
     return run
 
 
 @dataclass
-class Automaton:
-    """``head``: sorted hashes of broadcast words, with their counts and state numbers (-1: none). ``arcs``: log10
-    weights by state and frequent word, NaN where the failure arc is taken; ``failure``: its log10 weight. State
-    ``len(failure) - 1`` is the start of a text. ``total`` tokens and ``types`` distinct ones were counted."""
-
-    head: np.ndarray
-    count: np.ndarray
-    state: np.ndarray
-    arcs: np.ndarray
-    failure: np.ndarray
-    total: int
-    types: int
+class Grams:
+    """The n-grams of one kind in a chunk: distinct hashes in order, which of them ends at each token (-1: none), and
+    how often they occur in the chunk's training texts and in its held-out ones."""
+
+    keys: np.ndarray
+    at: np.ndarray
+    train: np.ndarray
+    held: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, train: np.ndarray, where: np.ndarray | None = None) -> Grams:
+        keys, at = np.unique(hashes if where is None else hashes[where], return_inverse=True)
+        learnt = train if where is None else train[where]
+        both, own = np.bincount(at, minlength=len(keys)), np.bincount(at[learnt], minlength=len(keys))
+        if where is not None:
+            full = np.full(len(hashes), -1)
+            full[where] = at
+            at = full
+        return cls(keys, at, own, both - own)
+
+    def ask(self, kind: int, chunk: int, bits: int) -> Iterator[pa.RecordBatch]:
+        cuts = _cut(self.keys, bits)
+        for some in (cuts[i : i + 64] for i in range(0, len(cuts), 64)):
+            bodies = [(*_shorten(self.keys[i:j], b, bits), _pack(self.train[i:j], self.held[i:j])) for b, i, j in some]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind] * n, pa.int32()), pa.array([b for b, _, _ in some], pa.int32()), pa.array([chunk] * n, pa.int64()), *[pa.array(c, pa.binary()) for c in zip(*bodies)]],
+                ["kind", "bucket", "chunk", "prefixes", "low", "seen"],
+            )
+
+    def hear(self, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """By distinct n-gram, its occurrences in all training texts and in all held-out ones."""
+        told = [_unpack(answers[b], 2) for b in sorted(answers)]
+        if not told:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*told))  # type: ignore[return-value]
+
+
+class Chunk:
+    """Whole texts with the tokens and n-grams of up to two tokens in them."""
+
+    def __init__(self, body: bytes) -> None:
+        rows = pa.ipc.open_stream(body).read_all()
+        self.doc_ids, self.held_out = rows.column("doc_id").combine_chunks(), rows.column("held_out").combine_chunks()
+        texts = rows.column("text").to_pylist()
+        parts = [_tokens(texts[a:b]) for a, b in textkit.batches(texts)]
+        self.tokens, self.counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.firsts = np.cumsum(self.counts) - self.counts
+        self.train = ~np.repeat(np.array(self.held_out.to_pylist(), bool), self.counts)
+        self.pairs = _follow(_shift(self.tokens, self.firsts, START), self.tokens)
+        self.words, self.twos = Grams.of(self.tokens, self.train), Grams.of(self.pairs, self.train)
+
+    def triples(self, of_pair: np.ndarray, in_all: np.ndarray) -> tuple[Grams, np.ndarray, np.ndarray]:
+        """N-grams of three tokens with what is known of them: which have to be asked for, and the training occurrences of the others.
+
+        ``of_pair`` and ``in_all`` are, by token, the occurrences of the pair that ends there in training texts and in all
+        texts. A triple occurs no more often than its two pairs: not in training where one of them does not, and in no
+        other chunk where one of them has no other occurrence than this chunk's triples. The first token has no triple.
+        """
+        head = _shift(_shift(self.tokens, self.firsts, START), self.firsts, START)
+        hashes = _follow(head, self.pairs)
+        inner = np.ones(len(hashes), bool)
+        inner[self.firsts] = False
+        possible = inner & (np.minimum(_shift(of_pair, self.firsts, 0), of_pair) > 0)
+        grams = Grams.of(hashes, self.train, possible)
+        #: Of one triple all pairs are the same, so any of its places tells the bound.
+        bound = np.zeros(len(grams.keys), np.int64)
+        bound[grams.at[possible]] = np.minimum(_shift(in_all, self.firsts, 0), in_all)[possible]
+        return grams, grams.train + grams.held < bound, grams.train
+
+
+def _ask_short(bits: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for chunk, body in zip(part.column(0).to_pylist(), part.column(1)):
+                texts = Chunk(body.as_py())
+                yield from texts.words.ask(1, chunk, bits)
+                yield from texts.twos.ask(2, chunk, bits)
 
-    def root(self, count: np.ndarray) -> np.ndarray:
-        """log10 weight of a root arc."""
-        return np.log10(count + 1.0) - np.log10(self.total + self.types + 1.0)
+    return run
 
-    def look_up(self, tokens: np.ndarray) -> np.ndarray:
-        """Place in ``head``, or -1."""
-        if not len(self.head):
-            return np.full(len(tokens), -1)
-        at = np.minimum(np.searchsorted(self.head, tokens), len(self.head) - 1)
-        return np.where(self.head[at] == tokens, at, -1)
 
-    def walk(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The state before each token of texts with ``counts`` tokens: that of the last frequent word passed.
+def _answer(bits: int):
+    """Occurrences of a bucket's n-grams over all chunks, to each chunk that asked; tokens and types of single words once."""
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        chunks = table.column("chunk")
+        keys = [_lengthen(p.as_py(), w.as_py(), bucket, bits) for p, w in zip(table.column("prefixes"), table.column("low"))]
+        seen = [_unpack(s.as_py(), 2) for s in table.column("seen")]
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        #: Sums of doubles are exact below 2**53.
+        train, held = (np.bincount(at, weights=np.concatenate(x), minlength=len(found)).astype(np.int64) for x in zip(*seen))
+        begin = 0
+        for k, chunk in enumerate(chunks):
+            mine = at[begin : begin + len(keys[k])]
+            begin += len(keys[k])
+            first = k == 0 and kind == 1
+            row = [chunk.as_py(), kind, bucket, _pack(train[mine], held[mine]), int(train.sum()) if first else 0, int((train > 0).sum()) if first else 0]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], ["chunk", "kind", "bucket", "body", "tokens", "types"])
 
-        ``own`` has each token's state number or -1. The scan runs left to right over all texts at once.
-        """
-        n, first = len(own), np.cumsum(counts) - counts
-        last = np.where(own >= 0, np.arange(n), -1)
-        last = np.concatenate([[-1], np.maximum.accumulate(last)[:-1]])
-        begins = np.repeat(first, counts)
-        return np.where(last >= begins, own[np.maximum(last, 0)], len(self.failure) - 1)
-
-    def score(self, tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """By text: log10 weight of its path and sum of log10(c + 1), both without the counts of words outside ``head``; tokens
-        in ``head``; by token, whether it is outside."""
-        at = self.look_up(tokens)
-        known = at >= 0
-        own = np.where(known, self.state[at], -1) if len(self.head) else np.full(len(tokens), -1)
-        before = self.walk(own, counts)
-        count = np.where(known, self.count[at], 0) if len(self.head) else np.zeros(len(tokens))
-        log_count = np.log10(count + 1.0)
-        weight = self.failure[before] + log_count - np.log10(self.total + self.types + 1.0)
-        if self.arcs.shape[1]:
-            arc = np.where(own >= 0, self.arcs[before, np.maximum(own, 0)], np.nan)
-            weight = np.where(np.isnan(arc), weight, arc)
-        first = np.cumsum(counts) - counts
-        add = lambda x: np.add.reduceat(x, first)
-        return add(weight), add(log_count), add(known.astype(np.int64)), ~known
+    return run
 
 
-def split_rows(docs: DataFrame, text: str, key: str, folds: int, held: int) -> DataFrame:
-    """(doc_id, held_out, text); a null doc_id is never held out."""
-    code = F.crc32(F.col(key).cast("string").cast("binary"))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(code % folds == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+def _open(table: pa.Table) -> tuple[int, Chunk, np.ndarray, np.ndarray, np.ndarray, dict[int, bytes]]:
+    """Of the rows of a chunk: its number, its texts, by token the training occurrences of the word and of the pair that ends
+    there and all occurrences of the pair, and the answers on triples."""
+    answers: dict[int, dict[int, bytes]] = {0: {}, 1: {}, 2: {}, 3: {}}
+    for kind, bucket, body in zip(table.column("kind").to_pylist(), table.column("bucket").to_pylist(), table.column("body")):
+        answers[kind][bucket] = body.as_py()
+    texts = Chunk(answers[0][0])
+    word, _ = texts.words.hear(answers[1])
+    pair, pair_held = texts.twos.hear(answers[2])
+    return table.column("chunk")[0].as_py(), texts, word[texts.words.at], pair[texts.twos.at], (pair + pair_held)[texts.twos.at], answers[3]
+
 
+def _ask_long(bits: int):
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        chunk, texts, _, pair, pair_all, _ = _open(table)
+        grams, unknown, _ = texts.triples(pair, pair_all)
+        yield from Grams(grams.keys[unknown], grams.at, grams.train[unknown], grams.held[unknown]).ask(3, chunk, bits)
 
-def _largest(counts: DataFrame, most: int) -> tuple[Column, int | None, int, int]:
-    """A step for each count and the least step of which, with all above, at most ``most`` rows are; sum and number of counts."""
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    steps = sorted(((r["step"], r["types"], r["tokens"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("tokens")).collect()), reverse=True)
-    taken, lowest = 0, None
-    for s, n, _ in steps:
-        if taken + n > most:
-            break
-        taken, lowest = taken + n, s
-    return step, lowest, sum(s[2] for s in steps), sum(s[1] for s in steps)
+    return run
 
 
 @dataclass
-class PairCache:
-    """``pairs``: sorted hashes of the broadcast arcs; ``gain``: their log10 weight over that of the way through the root.
-    ``failure``: log10 weights of the failure arcs of the words in the automaton's ``head``; ``start``: of a text's start."""
-
-    pairs: np.ndarray
-    gain: np.ndarray
-    failure: np.ndarray
-    start: float
-
-    def score(self, tokens: np.ndarray, counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By text: what the broadcast arcs and failure arcs add to the unigram score; by token: the pair it ends, and whether it is to be joined."""
-        pairs = _pair_hash(_before(tokens, counts), tokens)
-        add = np.where(at >= 0, self.failure[at], 0.0) if len(self.failure) else np.zeros(len(tokens))
-        outside = np.ones(len(tokens), bool)
-        if len(self.pairs):
-            place = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-            outside = self.pairs[place] != pairs
-            add += np.where(outside, 0.0, self.gain[place])
-        return np.add.reduceat(add, np.cumsum(counts) - counts) + self.start, pairs, outside
-
-
-def fit_pairs(rows: DataFrame, model: Automaton, counts: DataFrame, head_arcs: int = 1 << 19, prior: float = 100.0, least: int = 2) -> tuple[PairCache, DataFrame, DataFrame]:
-    """All arcs between words over the rows not held out: the cache, the arcs outside it (pair, gain) and the failure arcs (u, failure).
-
-    ``head_arcs`` bounds the broadcast arcs, not the arcs. Every count is that of the whole training fold.
-    """
-    train = rows.where(~F.col("held_out")).select("text")
-    kept = stage(map_batches(train, _unique_pairs(), "u long, w long, n long").groupBy("u", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "pairs")
-    start, end = int(START.astype(np.int64)), int(END.astype(np.int64))
-    #: Each text ends once and starts once.
-    after = counts.where(F.col("token") != end).union(counts.where(F.col("token") == end).select(F.lit(start).alias("token"), "n"))
-    root = (F.col("nw") + 1.0) / F.lit(float(model.total + model.types + 1))
-    known = kept.join(counts.select(F.col("token").alias("w"), F.col("n").alias("nw")), "w").withColumn("root", root)
-    prob = (F.col("n") + prior * F.col("root")) / (F.col("nu") + prior)
-    weighted = stage(known.join(after.select(F.col("token").alias("u"), F.col("n").alias("nu")), "u").select("u", "w", "n", "root", prob.alias("prob")), "weighted")
-    failures = stage(weighted.groupBy("u").agg(F.log10((1 - F.sum("prob")) / (1 - F.sum("root"))).alias("failure")), "failures")
-    arcs = stage(weighted.join(failures, "u").select("u", "w", (F.log10(F.col("prob") / F.col("root")) - F.col("failure")).alias("gain"), "n").mapInArrow(_with_hash, "pair long, gain double, n long"), "arcs")
-    step, lowest, _, _ = _largest(arcs, head_arcs)
-    failure, pairs, gain = np.zeros(len(model.head)), np.zeros(0, np.uint64), np.zeros(0)
-    if lowest is not None:
-        head = arcs.where(step >= F.lit(lowest)).select("pair", "gain").toArrow()
-        pairs = head["pair"].to_numpy().view(np.uint64)
-        order = np.argsort(pairs)
-        pairs, gain = pairs[order], head["gain"].to_numpy()[order]
-        arcs = arcs.where(step < F.lit(lowest))
-    if len(model.head):
-        least_count = int(model.count.min())
-        words = counts.where(F.col("n") >= least_count).select(F.col("token").alias("u"))
-        found = failures.join(words, "u").toArrow()
-        at = model.look_up(found["u"].to_numpy().view(np.uint64))
-        failure[at[at >= 0]] = found["failure"].to_numpy()[at >= 0]
-    first = failures.where(F.col("u") == start).take(1)
-    return PairCache(pairs, gain, failure, first[0]["failure"] if first else 0.0), arcs.select("pair", "gain"), failures
-
-
-def fit(rows: DataFrame, head_words: int = 1 << 18, states: int | None = None, prior: float = 100.0, least: int = 2) -> tuple[Automaton, DataFrame]:
-    """The automaton over the rows not held out, and the table of all counts (token, n).
-
-    ``head_words`` bounds the broadcast words. Without ``states`` the automaton is that of the root alone, to which
-    :func:`fit_pairs` adds the arcs of all words; ``states`` bounds the context words, and a broadcast of that model
-    by 16 * head_words + 4 * (states + 1) * states bytes at any input size. Arcs are smoothed towards the
-    root with ``prior`` pseudo-counts; pairs seen fewer than ``least`` times have no arc.
-    """
-    spark = rows.sparkSession
-    train = rows.where(~F.col("held_out")).select("text")
-    counts = stage(map_batches(train, _unique_counts(), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
-    step, lowest, total, types = _largest(counts, head_words)
-    head = counts.where(step >= F.lit(lowest)).toArrow() if lowest is not None else None
-    if head is None or not head.num_rows:
-        empty = np.zeros(0, np.uint64)
-        return Automaton(empty, np.zeros(0), np.zeros(0, np.int64), np.zeros((1, 0), np.float32), np.zeros(1), total, types), counts
-    tokens, n = head["token"].to_numpy().view(np.uint64), head["n"].to_numpy()
-    order = np.argsort(tokens)
-    tokens, n = tokens[order], n[order]
-    frequent = np.lexsort((tokens, -n))[: states or 0]
-    state = np.full(len(tokens), -1, np.int64)
-    state[frequent] = np.arange(len(frequent))
-    size = len(frequent)
-    model = Automaton(tokens, n, state, np.full((size + 1, size), np.nan, np.float32), np.zeros(size + 1), total, types)
-    if not size:
-        return model, counts
-    shared = spark.sparkContext.broadcast(model)
-    pairs = map_batches(train, _pair_counts(shared, size), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    seen = np.zeros((size + 1) * (size + 1), np.int64)  # the last column counts all tokens after a state
-    found = pairs.toPandas()
-    seen[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    seen = seen.reshape(size + 1, size + 1)
-    shared.unpersist()
-    after, pair = seen[:, size], seen[:, :size]
-    root = 10.0 ** model.root(n[frequent])
-    prob = (pair + prior * root[None, :]) / (after[:, None] + prior)
-    kept = pair >= least
-    left = 1 - np.where(kept, prob, 0).sum(axis=1)
-    free = 1 - np.where(kept, root[None, :], 0).sum(axis=1)
-    model.arcs = np.where(kept, np.log10(prob), np.nan).astype(np.float32)
-    model.failure = np.log10(left / free)
-    return model, counts
-
-
-def _pair_counts(shared, size: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        seen, any_row = np.zeros((size + 1) * (size + 1), np.int64), False
-        for part in parts:
-            texts = part.column(0).to_pylist()
-            for a, b in textkit.batches(texts):
-                tokens, counts = _tokens(texts[a:b])
-                at = model.look_up(tokens)
-                own = np.where(at >= 0, model.state[at], -1)
-                before = model.walk(own, counts)
-                codes = np.concatenate([before * (size + 1) + size, (before * (size + 1) + own)[own >= 0]])
-                keys, n = np.unique(codes, return_counts=True)
-                seen[keys] += n
-                any_row = True
-        if any_row:
-            keys = np.flatnonzero(seen)
-            for a in range(0, len(keys), 200_000):
-                k = keys[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(seen[k])], ["pair", "n"])
+class Automaton:
+    """Weights of arcs in log10: ``tokens`` and ``types`` of the training texts, and the ``priors`` of states of one and two tokens."""
 
-    return run
+    tokens: int
+    types: int
+    priors: tuple[float, float]
 
+    def root(self, word: np.ndarray) -> np.ndarray:
+        return np.log10(word + 1.0) - math.log10(self.tokens + self.types + 1.0)
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, weight double, rare array<long>, times array<long>, pairs array<long>"
+    def arc(self, order: int, seen: np.ndarray, state: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Of an arc taken ``seen`` times from a state that occurs ``state`` times; ``below`` is the shorter state's weight."""
+        k = self.priors[order - 1]
+        return np.log10((seen + k * 10.0**below) / (state + k))
 
+    def failure(self, order: int, state: np.ndarray) -> np.ndarray:
+        k = self.priors[order - 1]
+        return math.log10(k) - np.log10(state + k)
 
-def _score(shared):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value
-        for part in parts:
-            texts = part.column(3).to_pylist()
-            for a, b in textkit.batches(texts):
-                tokens, counts = _tokens(texts[a:b])
-                weight, logs, known, outside = model.score(tokens, counts)
-                joined = [np.zeros(0, np.int64)] * (b - a)
-                if cache is not None:
-                    add, pairs, far = cache.score(tokens, counts, model.look_up(tokens))
-                    weight = weight + add
-                    joined = np.split(pairs[far].view(np.int64), np.cumsum(np.add.reduceat(far.astype(np.int64), np.cumsum(counts) - counts))[:-1])
-                text_of = np.repeat(np.arange(b - a), counts)[outside]
-                rare, times = [], []
-                cuts = np.searchsorted(text_of, np.arange(1, b - a))
-                for own in np.split(tokens[outside], cuts):
-                    keys, n = np.unique(own, return_counts=True)
-                    rare.append(keys.view(np.int64))
-                    times.append(n)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[part.column(i).slice(a, b - a) for i in range(3)],
-                        pa.array(counts),
-                        pa.array(known),
-                        pa.array(logs),
-                        pa.array(weight),
-                        pa.array(rare, pa.list_(pa.int64())),
-                        pa.array(times, pa.list_(pa.int64())),
-                        pa.array(joined, pa.list_(pa.int64())),
-                    ],
-                    [x.split()[0] for x in _SCORED.split(", ")],
-                )
+    def walk(self, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The weight of the path over each token: the arc of the longest state that has one, after the failure arcs to it.
+
+        ``word``, ``pair`` and ``triple`` are the occurrences of what ends at the token, ``one`` and ``two`` those of the
+        states of one and two tokens before it. A state that does not occur is not entered: its failure arc weighs nothing.
+        """
+        weight = self.root(word)
+        for order, seen, state in ((1, pair, one), (2, triple, two)):
+            weight = np.where(seen > 0, self.arc(order, seen, state, weight), self.failure(order, state) + weight)
+        return weight
+
+
+def _walk(model: Automaton):
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        _, texts, word, pair, pair_all, answers = _open(table)
+        grams, unknown, known = texts.triples(pair, pair_all)
+        total = known.copy()
+        if unknown.any():
+            total[unknown] = grams.hear(answers)[0]
+        triple = np.where(grams.at >= 0, total[grams.at], 0) if len(total) else np.zeros(len(word), np.int64)
+        #: Every text starts once and ends once, and END is in every chunk.
+        one = _shift(word, texts.firsts, word[texts.firsts[0] + texts.counts[0] - 1])
+        two = _shift(pair, texts.firsts, 0)
+        add = lambda x: np.add.reduceat(x, texts.firsts)
+        yield pa.RecordBatch.from_arrays(
+            [texts.doc_ids, texts.held_out, pa.array(texts.counts), pa.array(add((word > 0).astype(np.int64))), pa.array(add(model.root(word))), pa.array(add(model.walk(word, pair, triple, one, two)))],
+            [x.split()[0] for x in _SCORED.split(", ")],
+        )
 
     return run
 
 
-def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2, states: int | None = None, head_arcs: int = 1 << 19, **model_options: float) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", folds: int = 7, held: int = 2, priors: tuple[float, float] = (100.0, 10.0), chunk: int = 1 << 23) -> DataFrame:
     """Scores of all documents under a model learned from those outside the held fold, whole texts:
     (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of ``docs``.
 
-    Tokens are words (A-Z lower-cased, split at ASCII white space) and one end per text. ``base_score`` is the
-    add-one unigram log10 probability, ``score`` that of the automaton's path. Null and empty texts are one
-    end token; a null doc_id is in the training fold; repeated rows count each. Without training rows all
-    counts are zero. An empty table gives an empty result; other columns are ignored.
+    Tokens are words (A-Z lower-cased, split at ASCII white space) and one end per text. ``base_score`` is the add-one
+    unigram log10 probability, ``score`` that of the automaton's path. Null and empty texts are one end token; a null
+    doc_id is in the training fold; repeated rows count each. Without training rows all counts are zero. An empty table
+    gives an empty result; other columns are ignored.
+
+    ``priors`` are the pseudo-counts of states of one and of two tokens. ``chunk`` is the number of characters of the
+    texts that are walked together: memory follows it and the longest text, not the corpus. The number of buckets
+    follows the corpus, so that a bucket's n-grams stay bounded too; a frequent n-gram reaches it once per chunk.
     """
     rows = split_rows(docs, text, key, folds, held)
-    model, counts = fit(rows, states=states, **model_options)
-    cache = arcs = failures = None
-    if states is None:
-        cache, arcs, failures = fit_pairs(rows, model, counts, head_arcs, **{k: v for k, v in model_options.items() if k != "head_words"})
-    shared = docs.sparkSession.sparkContext.broadcast((model, cache))
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    scored = stage(map_batches(numbered, _score(shared), _SCORED), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
-    weights = counts.withColumn("failure", F.lit(0.0)) if failures is None else counts.join(failures.withColumnRenamed("u", "token"), "token", "left")
-    sums = lambda x: F.sum(F.col("times") * x)
-    seen = rare.join(realign(weights, "n"), "token").groupBy("row").agg(sums(F.log10(F.col("n") + 1.0)).alias("more"), sums(F.coalesce("failure", F.lit(0.0))).alias("fails"), F.sum("times").alias("found"))
-    more = F.coalesce("more", F.lit(0.0))
-    scale = float(np.log10(model.total + model.types + 1.0))
-    out = scored.drop("rare", "times", "pairs").join(seen.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left").drop("of")
-    gains = F.lit(0.0)
-    if arcs is not None:
-        gained = scored.select("row", F.explode("pairs").alias("pair")).join(arcs, "pair").groupBy(F.col("row").alias("by")).agg(F.sum("gain").alias("gains"))
-        out, gains = out.join(gained, F.col("row") == F.col("by"), "left"), F.coalesce("gains", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("logs") + more - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        (F.col("weight") + more + F.coalesce("fails", F.lit(0.0)) + gains).alias("score"),
-    )
+    gathered = map_batches(rows, _chunks(chunk), "size long, body binary")
+    chunks = stage(gathered.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, size / chunk))))
+    texts = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), "body")
+    asked = map_batches(chunks.select("chunk", "body"), _ask_short(bits), _ASKED)
+    told = stage(map_groups(asked, ["kind", "bucket"], _answer(bits), _TOLD), "told")
+    seen = told.agg(F.sum("tokens"), F.sum("types")).first()
+    model = Automaton(seen[0] or 0, seen[1] or 0, priors)
+    short = texts.unionByName(told.drop("tokens", "types"))
+    more = map_groups(short, ["chunk"], _ask_long(bits), _ASKED)
+    told_more = stage(map_groups(more, ["kind", "bucket"], _answer(bits), _TOLD), "told")
+    scored = map_groups(short.unionByName(told_more.drop("tokens", "types")), ["chunk"], _walk(model), _SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

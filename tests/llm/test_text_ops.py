@@ -379,90 +379,83 @@ def test_hint_lets_every_shortest_match_pass(body, kind):
         assert [k for *_, k, _ in surrogates.detect(f"is {body} up")] == [k for *_, k, _ in surrogates.detect(f"q@r.st {body}")][1:]
 
 
-def brute_scores(rows, states, prior=100.0, least=2):
-    train = [words(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    count = collections.Counter(w for t in train for w in t)
-    total, types = sum(count.values()), len(count)
-    root = lambda w: (count[w] + 1) / (total + types + 1)
-    token = lambda w: int(backoff.END if w is None else textkit.word_hashes([w])[0][0])
-    top = sorted(count, key=lambda w: (-count[w], token(w)))[:states]
-    after, pair = collections.Counter(), collections.Counter()
-    for t in train:
-        state = ""
-        for w in t:
-            after[state] += 1
-            if w in top:
-                pair[state, w] += 1
-                state = w
-    prob = lambda u, w: (pair[u, w] + prior * root(w)) / (after[u] + prior)
-    kept = collections.defaultdict(set)
-    for (u, w), n in pair.items():
-        if n >= least:
-            kept[u].add(w)
-    back = {u: (1 - sum(prob(u, w) for w in kept[u])) / (1 - sum(root(w) for w in kept[u])) for u in ["", *top]}
-    out = []
-    for i, t in rows:
-        state, s = "", 0.0
-        for w in words(t):
-            s += math.log10(prob(state, w) if w in kept[state] else back[state] * root(w))
-            state = w if w in top else state
-        toks = words(t)
-        out.append((i, len(toks), sum(w in count for w in toks), total, sum(math.log10(root(w)) for w in toks), s))
-    return out
-
-
-@pytest.mark.parametrize(("head", "states"), [(1 << 18, 1 << 10), (40, 8), (0, 8)])
-def test_backoff_scores_match_brute_force(spark, head, states):
+class Explicit:
+    """The automaton of the training texts as dictionaries: states are tuples of tokens, walked token by token."""
+
+    def __init__(self, train, priors=(100.0, 10.0)):
+        self.priors, self.seen, self.after = priors, collections.Counter(), collections.Counter()
+        self.words = collections.Counter(w for t in train for w in t)
+        for t in train:
+            line = ["", *t]
+            for k in range(1, len(line)):
+                for n in range(1, min(k, 2) + 1):
+                    self.after[tuple(line[k - n : k])] += 1
+                    self.seen[tuple(line[k - n : k + 1])] += 1
+        self.total, self.types = sum(self.words.values()), len(self.words)
+
+    def prob(self, state, w):
+        if not state:
+            return (self.words[w] + 1) / (self.total + self.types + 1)
+        k = self.priors[len(state) - 1]
+        if self.seen[*state, w]:
+            return (self.seen[*state, w] + k * self.prob(state[1:], w)) / (self.after[state] + k)
+        return k / (self.after[state] + k) * self.prob(state[1:], w)
+
+    def longest(self, tokens):
+        return next(tuple(tokens[i:]) for i in range(max(0, len(tokens) - 2), len(tokens) + 1) if i == len(tokens) or self.after[tuple(tokens[i:])])
+
+    def score(self, text):
+        state, out = self.longest([""]), 0.0
+        for w in text:
+            out += math.log10(self.prob(state, w))
+            state = self.longest([*state, w])
+        return out
+
+
+def training(rows):
+    return [words(t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+
+
+@pytest.mark.parametrize(("chunk", "priors"), [(1 << 23, (100.0, 10.0)), (300, (100.0, 10.0)), (2000, (3.0, 0.5))])
+def test_backoff_scores_match_an_explicit_automaton(spark, chunk, priors):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join(rng.choice(vocab[: rng.choice([5, 30, 300])]).upper() for _ in range(rng.randint(0, 80)))) for i in range(150)]
-    rows += [(1000, None), (1001, ""), (1002, "never seen words"), (None, "w1 w2"), (1003, "w1 w2"), (1003, "w1 w2")]
-    got = backoff.score_documents(docs(spark, rows).repartition(3), head_words=head, states=states).collect()
-    if head >= 1 << 18:
-        want = brute_scores(rows, states)
-    else:
-        model, _ = backoff.fit(backoff.split_rows(docs(spark, rows), "text", "doc_id", 7, 2), head_words=head, states=states)
-        want = brute_scores(rows, int((model.state >= 0).sum()))
+    rows += [(200 + i, rows[i][1] + rng.choice(["", " more", " w1 w2 w3"])) for i in range(40)]
+    rows += [(1000, None), (1001, ""), (1002, "never seen words"), (None, "w1 w2"), (1003, "w1 w2"), (1003, "w1 w2"), (1004, " ".join(rng.choice(vocab) for _ in range(5000)))]
+    rows += [(2000 + i, f"held{i % 3} pair{i % 5} only{i % 2} here") for i in range(60)]
+    model = Explicit(training(rows), priors)
+    want = [(i, len(words(t)), sum(w in model.words for w in words(t)), model.total, sum(math.log10(model.prob((), w)) for w in words(t)), model.score(words(t))) for i, t in rows]
+    got = backoff.score_documents(docs(spark, rows).repartition(3), chunk=chunk, priors=priors).collect()
+    assert len(got) == len(want)
     key = lambda x: (str(x[0]), x[1], round(x[5], 5))
     for a, b in zip(sorted([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got], key=key), sorted(want, key=key)):
-        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-6) and math.isclose(a[5], b[5], rel_tol=1e-5), (a, b)
+        assert a[:4] == b[:4] and math.isclose(a[4], b[4], rel_tol=1e-9) and math.isclose(a[5], b[5], rel_tol=1e-9), (a, b)
 
 
-def test_automaton_states_sum_to_one(spark):
+def test_automaton_states_sum_to_one():
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice("abcdefghij") for _ in range(40))) for i in range(60)]
-    model, _ = backoff.fit(backoff.split_rows(docs(spark, rows), "text", "doc_id", 7, 2), states=6)
-    root = 10 ** model.root(model.count)
-    unknown = 10 ** model.root(np.zeros(1))[0]
-    assert math.isclose(root.sum() + unknown, 1)
-    for s in range(len(model.failure)):
-        arcs = np.array([model.arcs[s, n] if n >= 0 else np.nan for n in model.state])
-        back = 10 ** model.failure[s]
-        assert math.isclose(np.where(np.isnan(arcs), back * root, 10**arcs).sum() + back * unknown, 1, rel_tol=1e-5)
-
-
-def test_scores_of_an_empty_table(spark):
+    train = [[rng.choice("abcdefghij") for _ in range(40)] + [None] for _ in range(60)]
+    explicit = Explicit(train)
+    model = backoff.Automaton(explicit.total, explicit.types, explicit.priors)
+    for state in [*explicit.after, ("z",), ("z", "z")]:
+        arcs = lambda n, s: np.array([*(explicit.seen[*s, w] if s else explicit.words[w] for w in explicit.words), 0])[:, None] if n else None
+        tail = state[-1:]
+        seen = [arcs(1, s).ravel() for s in ((), tail, state if len(state) == 2 else ("none", "none"))]
+        one, two = explicit.after[tail], explicit.after[state] if len(state) == 2 else 0
+        weights = model.walk(*seen, np.full(len(seen[0]), one), np.full(len(seen[0]), two))
+        assert math.isclose((10**weights).sum(), 1, rel_tol=1e-9)
+
+
+def test_hashes_of_buckets_come_back():
+    keys = np.unique(np.random.default_rng(2).integers(0, 2**64 - 1, 5000, dtype=np.uint64))
+    for bits in (0, 3, 16, 20):
+        back = [backoff._lengthen(*backoff._shorten(keys[i:j], b, bits), b, bits) for b, i, j in backoff._cut(keys, bits)]
+        assert (np.concatenate(back) == keys).all()
+
+
+def test_scores_without_rows_or_training(spark):
     assert backoff.score_documents(docs(spark, [])).count() == 0
-
-
-@pytest.mark.parametrize("caches", [{}, {"head_words": 40, "head_arcs": 30}, {"head_words": 0, "head_arcs": 0}])
-def test_every_word_is_a_state_of_the_backoff_model(spark, caches):
-    rng = random.Random(4)
-    rows = [(i, " ".join(f"w{rng.randrange(1500)} x{rng.randrange(9)}" for _ in range(60))) for i in range(100)]
-    rows += [(1000 + i, f"w{i} rare{i % 40} next{i % 40} unseen{i} w1") for i in range(200)] + [(5000, None), (None, "w1 x2")]
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    texts = {i: ["", *(t or "").split(), None] for i, t in rows}
-    train = [t for i, t in texts.items() if not held(i)]
-    count, pair = collections.Counter(w for t in train for w in t[1:]), collections.Counter(p for t in train for p in zip(t, t[1:]))
-    assert len(count) > 1100 and any(held(i) and w not in count for i, t in texts.items() for w in t[1:])
-    total, types, after = sum(count.values()), len(count), collections.Counter(u for t in train for u in t[:-1])
-    root = lambda w: (count[w] + 1) / (total + types + 1)
-    prob = {(u, w): (n + 100 * root(w)) / (after[u] + 100) for (u, w), n in pair.items() if n >= 2}
-    left, free = collections.Counter(), collections.Counter()
-    for (u, w), x in prob.items():
-        left[u] += x
-        free[u] += root(w)
-    got = {r.doc_id: r for r in backoff.score_documents(docs(spark, rows).repartition(3), **caches).collect()}
-    for i, t in texts.items():
-        want = sum(math.log10(prob.get((u, w), (1 - left[u]) / (1 - free[u]) * root(w))) for u, w in zip(t, t[1:]))
-        assert math.isclose(got[i].score, want, rel_tol=1e-6) and got[i].n_known == sum(w in count for w in t[1:]), (i, got[i], want)
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    got = backoff.score_documents(docs(spark, [(held, "a b")])).collect()
+    assert [(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(True, 3, 0, 0, 0.0, 0.0)]
