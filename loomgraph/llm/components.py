@@ -55,8 +55,8 @@ def _stars(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges directed from larger to smaller nodes."""
     both = edges.union(edges.select(F.col("dst"), F.col("src"))).toDF("u", "v")
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.where("v > u").join(realign(low, "m"), "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
-    parent = realign(large.groupBy("src").agg(F.min("dst").alias("m")), "m")
+    large = both.where("v > u").join(realign(low, "u"), "u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
+    parent = realign(large.groupBy("src").agg(F.min("dst").alias("m")), "src")
     small = large.join(parent, "src")
     onward = small.where("dst > m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
     return small.select("src", F.col("m").alias("dst")).union(onward).distinct()

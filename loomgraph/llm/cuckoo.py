@@ -222,7 +222,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_
     rows = stage(digest_rows(docs, text, key), "digests")
     shards = max(1, -(-rows.count() // shard_rows))
     best = build_index(rows, shards).select("digest", F.col("n").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("ties"), F.col("length").alias("keep_length"))
-    return rows.select("digest", "doc_id", "row").join(realign(best, "keep_row"), "digest").select(
+    return rows.select("digest", "doc_id", "row").join(realign(best, "digest"), "digest").select(
         "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "ties", "keep_length"
     )
 

@@ -186,7 +186,7 @@ def block_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     met = stage(map_groups(dealt, ["pass", "dim", "block", "other"], _compare(cosine), "vec_id long, links long, root long"), "met")
     total = met.groupBy(F.col("vec_id").alias("root")).agg(F.sum("links").alias("links"))
     many = copies.where("n > 1").withColumnRenamed("vec_id", "root").join(total, "root", "left")
-    copied = units.where("apart is null").select("vec_id", "dim", "unit").join(realign(many, "links"), ["dim", "unit"])
+    copied = units.where("apart is null").select("vec_id", "dim", "unit").join(realign(many, "dim", "unit"), ["dim", "unit"])
     return met.union(copied.select("vec_id", (F.col("n") - 1 + F.when(F.col("vec_id") != F.col("root"), F.coalesce("links", F.lit(0))).otherwise(0)).alias("links"), "root"))
 
 
@@ -203,7 +203,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     degree = found.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("n_links"))
     labels = connected_components(found.select("vec_id", "root"))
     known = degree.join(labels, "node", "left").withColumnRenamed("node", "of")
-    return vectors.select(F.col(key).cast("long").alias("vec_id")).join(realign(known, "n_links"), F.col("vec_id") == F.col("of"), "left").select(
+    return vectors.select(F.col(key).cast("long").alias("vec_id")).join(realign(known, "of"), F.col("vec_id") == F.col("of"), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"),

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Spark's setting that removes the shuffle files of a finished execution.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,10 +30,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to a new shared Parquet table and read it back: lineage ends there, so a lost
     executor costs a re-read. The table's rows keep no partitioning, so that joins on them shuffle
-    directly and adaptive execution can split their hot keys."""
+    directly and adaptive execution can split their hot keys. No later job asks for the shuffle files
+    behind the table again, so they are removed with its writing and not at some later collection."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path  # type: ignore[attr-defined]
     return out
@@ -46,7 +54,7 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def realign(df: DataFrame, by: str) -> DataFrame:
-    """Deal an aggregated table by a column other than the join key, so that the join adds an exchange
+def realign(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal an aggregated table by a hash of its join key, which is unique in it, so that the join adds an exchange
     of its own to both sides; only then can adaptive execution split a hot key of the other side."""
-    return df.repartition(F.col(by))
+    return df.repartition(F.xxhash64(*keys))

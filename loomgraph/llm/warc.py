@@ -64,7 +64,7 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
         "payloads",
     )
     best = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("best_id"))
-    joined = rows.join(realign(best, "best_id"), ["payload_digest", "payload_bytes"], "left")
+    joined = rows.join(realign(best, "payload_digest", "payload_bytes"), ["payload_digest", "payload_bytes"], "left")
     return joined.select("page_id", "payload_bytes", "payload_digest", F.coalesce("best_id", "page_id").alias("keep_id")).distinct()
 
 
