@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm import textkit
 from loomgraph.llm.grouped import map_batches
-from loomgraph.llm.shared import stage
+from loomgraph.llm.shared import free_name, stage
 
 GRAM_BITS = 16
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -217,6 +217,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 8, span: int = 24, r
 
 def label_words(model: Model, texts: list[str | None]) -> list[np.ndarray]:
     """Label probabilities (words, labels) of each text's words, by forward-backward over the whole text."""
+    if not model.labels:
+        return [np.zeros((0, 0)) for _ in texts]
     parts, sizes = [], []
     for a, b in textkit.batches(texts, 1 << 19):
         f, counts = features(texts[a:b], model.lexicon)
@@ -230,28 +232,27 @@ def label_words(model: Model, texts: list[str | None]) -> list[np.ndarray]:
     return np.split(prob, np.cumsum(counts)[:-1])
 
 
-def sample(docs: DataFrame, text: str, lang: str, key: str, folds: int, held: int, per_label: int, most_labels: int) -> DataFrame:
-    """At most ``per_label`` training rows of each of the ``most_labels`` commonest languages, chosen by a hash of the key.
-
-    Rates come from counts over all rows; only rows under twice their rate are ranked.
+def sample(docs: DataFrame, text: str, lang: str, key: str, folds: int, held: int, per_label: int, most_rows: int) -> DataFrame:
+    """At most ``per_label`` training rows of each language, chosen by a hash of the key; fewer where these would be more than
+    ``most_rows`` together, but one of every language at least. Rates come from counts over all rows; only rows under twice their rate are ranked.
     """
     code = F.crc32(F.col(key).cast("string").cast("binary"))
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where((code % folds != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_labels)
-    rates = stage(counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), 2.0 * per_label / F.col("n")).alias("rate")), "rates")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts, "languages")
+    most = max(1, min(per_label, most_rows // max(1, counts.count())))
+    #: About 16 rows more than needed are drawn of a language, so that chance leaves none of it short.
+    rates = counts.select(F.col("lang").alias("of"), F.least(F.lit(1.0), (2.0 * most + 16) / F.col("n")).alias("rate"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.withColumn("draw", draw).join(F.broadcast(rates), (F.col("lang") == F.col("of")) & (F.col("draw") < F.col("rate"))).where(F.col("text").rlike(r"\p{L}"))
+    picked = rows.withColumn("draw", draw).join(rates, (F.col("lang") == F.col("of")) & (F.col("draw") < F.col("rate"))).where(F.col("text").rlike(r"\p{L}"))
     order = W.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    return picked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_label).select("text", "lang")
+    return picked.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("text", "lang")
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", folds: int = 3, held: int = 1, per_label: int = 400, words: int = 200, most_labels: int = 64) -> Model:
-    """A model learned from a bounded sample of the rows outside the held fold: ``per_label`` texts a language, of each
-    ``words`` words around its middle. The driver's share is bounded by these parameters."""
-    split = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    middle = F.greatest(F.lit(1), F.floor((F.size("w") - words) / 2).cast("int") + 1)
-    rows = sample(docs, text, lang, key, folds, held, per_label, most_labels).withColumn("w", split)
-    got = sorted((r["lang"], r["t"]) for r in rows.select("lang", F.array_join(F.slice("w", middle, words), " ").alias("t")).collect())
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", folds: int = 3, held: int = 1, per_label: int = 160, most_rows: int = 6400) -> Model:
+    """A model learned from a bounded sample of the rows outside the held fold: ``per_label`` whole texts a language, and
+    ``most_rows`` of all languages together (but one of each). These bound what the driver gathers; every language is learned."""
+    got = sorted((r["lang"], r["text"]) for r in sample(docs, text, lang, key, folds, held, per_label, most_rows).collect())
     return train([t for _, t in got], [x for x, _ in got])
 
 
@@ -294,7 +295,26 @@ def identify(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_
     return map_batches(rows, _predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, found: DataFrame, key: str = "doc_id", least: float = 0.4) -> DataFrame:
-    """The documents with a language of at least ``least`` mean probability, with their own columns; keys must be unique."""
-    stays = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("__key"))
-    return docs.join(stays, docs[key].eqNullSafe(stays["__key"]), "left_semi")
+def _keep(shared, columns: int, text: int, least: float):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part in parts:
+            texts, lettered, kept = part.column(text).to_pylist(), part.column(columns).to_pylist(), []
+            for a, b in textkit.batches(texts, 1 << 22):
+                for prob, ok in zip(label_words(model, texts[a:b]), lettered[a:b]):
+                    kept.append(bool(ok and len(prob) and model.labels and float(prob.max(axis=1).mean()) >= least))
+            yield part.select(list(range(columns))).filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.4) -> DataFrame:
+    """The documents whose language can be told, with their own columns.
+
+    A document stays when its words' most probable labels have ``least`` probability on average, so a text in several
+    languages stays as well as one in a single language. Null texts and those without a letter go, as does everything
+    without a learned label. Rows are judged where they stand: keys may repeat or be null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    lettered = docs.withColumn(free_name("lettered", docs), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    return map_batches(lettered, _keep(shared, len(docs.columns), docs.columns.index(text), least), docs.schema)

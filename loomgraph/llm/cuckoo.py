@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.grouped import map_groups
-from loomgraph.llm.shared import realign, stage
+from loomgraph.llm.shared import numbered, realign, stage
 
 SPACES = r"[\x20\x09-\x0D]"
 
@@ -58,9 +59,9 @@ class CuckooIndex:
         return self.stored.get(self._content(digest), {}).get(digest)
 
     def insert(self, digest: bytes, value: object) -> bool:
-        """Add a digest or, when it is live, replace its value; true if it was new."""
+        """Add a digest or, when it is live, replace its value; true if it was new. The stored keys are asked on a hit only."""
         bucket = self.stored.setdefault(self._content(digest), {})
-        fresh = digest not in bucket
+        fresh = not self.maybe(digest) or digest not in bucket
         bucket[digest] = value
         if fresh:
             self.live += 1
@@ -160,56 +161,58 @@ def build_index(rows: DataFrame, shards: int) -> DataFrame:
     return map_groups(folded.withColumn("shard", shard), ["shard"], _fold_shard, ENTRY)
 
 
-def update_index(entries: DataFrame, added: DataFrame, removed: DataFrame, shards: int) -> DataFrame:
-    """The index after a batch: entries of ``added`` rows go in, ``removed`` (digest, n) rows come out.
+def update_index(entries: DataFrame, added: DataFrame, removed: DataFrame, live: DataFrame, shards: int) -> DataFrame:
+    """The index after a batch: entries of ``added`` rows go in, ``removed`` rows come out; ``live`` are all rows that are left.
 
-    A digest is deleted when its last row goes. All three are dealt by shard; in each, deletions run on
-    the live filter. The row that stays is kept while any row of its digest is live. Removing more rows
-    than are live deletes the digest; removing an unknown digest changes nothing.
+    All rows are in the form of :func:`digest_rows`. A digest is deleted when its last row goes. Entries, added and
+    removed rows are dealt by shard; in each, deletions run on the live filter. Where the row that stays is among those
+    removed, the best of the digest's live rows takes its place; only digests for which that is so are looked up among
+    them. Removing more rows than are live deletes the digest; removing an unknown digest changes nothing.
     """
     tag = lambda df, k: df.withColumn("what", F.lit(k))
-    gone = removed.groupBy("digest").agg(F.sum("n").alias("n")).select("digest", "n", *[F.lit(None).cast("long").alias(c) for c in ("length", "doc_id", "row", "ties")])
-    together = tag(entries, 0).unionByName(tag(added.mapInArrow(_fold_part, ENTRY), 0)).unionByName(tag(gone, 1))
+    columns = ["digest", "n", "length", "doc_id", "row", "ties"]
+    gone = removed.groupBy("digest", "length", "doc_id").agg(F.sum("n").alias("n")).select("digest", "n", "length", "doc_id", *[F.lit(None).cast("long").alias(c) for c in ("row", "ties")])
+    together = tag(entries, 0).unionByName(tag(added.select(columns).mapInArrow(_fold_part, ENTRY), 0)).unionByName(tag(gone, 1))
     shard = F.pmod(F.conv(F.hex(F.substring("digest", 14, 4)), 16, 10).cast("long"), F.lit(shards)).cast("int")
 
     def apply(table: pa.Table) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex(max(64, table.num_rows // 3))
         what = table.column("what")
-        import pyarrow.compute as pc
-
-        names = ("digest", "n", "length", "doc_id", "row", "ties")
-        _fold(index, [table.filter(pc.equal(what, 0)).column(c).to_pylist() for c in names])
+        _fold(index, [table.filter(pc.equal(what, 0)).column(c).to_pylist() for c in columns])
         out = table.filter(pc.equal(what, 1))
-        for digest, n in zip(out.column("digest").to_pylist(), out.column("n").to_pylist()):
+        for digest, n, length, doc_id in zip(*(out.column(c).to_pylist() for c in columns[:4])):
             old = index.find(digest)
             if old is None:
                 continue
             if old[0] <= n:
                 index.delete(digest)
             else:
-                index.insert(digest, (old[0] - n, *old[1:]))
+                #: Without ties the entry has lost the row that stays.
+                index.insert(digest, (old[0] - n, *old[1:4], 0 if old[1:3] == (length, doc_id) else old[4]))
         yield from _entries(index)
 
-    return map_groups(together.withColumn("shard", shard), ["shard"], apply, ENTRY)
+    after = stage(map_groups(together.withColumn("shard", shard), ["shard"], apply, ENTRY), "index")
+    lost = after.where("ties = 0").select("digest")
+    return after.where("ties > 0").unionByName(build_index(live.join(lost, "digest", "left_semi"), shards))
 
 
-def digest_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows in the form of index entries: SHA-256 of the text without white space, code points, key, row number."""
+def digest_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """Rows in the form of index entries: SHA-256 of the text without white space, code points, key, row number (of column ``row`` if given)."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.unhex(F.sha2(F.regexp_replace(body, SPACES, ""), 256)).alias("digest"),
         F.lit(1).cast("long").alias("n"),
         F.length(body).cast("long").alias("length"),
         F.col(key).cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.lit(1).cast("long").alias("ties"),
     )
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_rows: int = 50_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_rows: int = 50_000, row: str | None = None) -> DataFrame:
     """Classes of equal texts: one row per document with the document that stays.
 
-    Returns (doc_id, keep_id, group_size, kept, text_sha256, ties, keep_length). Texts are equal when their SHA-256
+    Returns (doc_id, keep_id, group_size, kept, text_sha256, ties, keep_length, row); ``row`` may name a column that numbers the rows. Texts are equal when their SHA-256
     without ASCII white space is (the stored key a filter hit is verified against); the text with most
     code points stays, then the smallest doc_id. Null text counts as empty, so null, empty and blank texts
     are one class. A null doc_id stays only if all of its class are null. Of repeated rows exactly one is
@@ -219,22 +222,16 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", shard_
     The number of shards follows the number of rows, so a shard's index stays bounded; a hot digest reaches
     its shard once per map task. The join back splits its rows by adaptive execution.
     """
-    rows = stage(digest_rows(docs, text, key), "digests")
+    rows = stage(digest_rows(docs, text, key, row), "digests")
     shards = max(1, -(-rows.count() // shard_rows))
     best = build_index(rows, shards).select("digest", F.col("n").alias("group_size"), F.col("doc_id").alias("keep_id"), F.col("row").alias("keep_row"), F.col("ties"), F.col("length").alias("keep_length"))
     return rows.select("digest", "doc_id", "row").join(realign(best, "digest"), "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "ties", "keep_length"
+        "doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "ties", "keep_length", "row"
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that exact deduplication keeps, with their own columns; of repeated rows one stays."""
-    kept = exact_dedup(docs, text, key).where("kept").select(F.col("doc_id").alias("__key"), F.col("text_sha256").alias("__sha"), F.col("ties").alias("__ties"), F.col("keep_length").alias("__long"))
-    sha = F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, ""), 256)
-    names = docs.columns
-    found = docs.withColumn("__own", sha).withColumn("__len", F.length(F.coalesce(F.col(text), F.lit("")))).join(
-        kept, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__sha")) & (F.col("__len") == F.col("__long"))
-    )
-    #: A document whose id and digest and length occur in several rows: one of them stays.
-    single, several = found.where("__ties = 1"), found.where("__ties > 1")
-    return single.select(names).unionByName(several.dropDuplicates(["__own"]).select(names))
+    rows, row = numbered(docs)
+    kept = exact_dedup(rows, text, key, row=row).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import stage
+from loomgraph.llm.shared import free_name, numbered, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -50,6 +50,7 @@ def systematic_mix(
     most: float = 3.0,
     seed: str = "mix",
     block_rows: int = 4096,
+    row: str | None = None,
 ) -> DataFrame:
     """Copies of every document in a mix of sources: (doc_id, source, size, source_size, target, copies, taken).
 
@@ -57,19 +58,21 @@ def systematic_mix(
     along the source, one random offset is added, and a document is emitted once per integer boundary
     that its interval crosses. Documents stand in the order of their size class (eighths of a power of
     two), then block, size and key, so that the words taken come near the target too. The prefix sums
-    have two levels: blocks of about ``block_rows`` rows, dealt by a hash of the key within a size class,
-    are summed over counts alone, then rows within their block. No task sees a whole source.
+    have three levels: size classes of a source (some hundreds), blocks of about ``block_rows`` rows of a class,
+    dealt by a hash of the key, both summed over counts alone, and rows within their block. No task sees a whole source.
 
     Null text has size 0; null sources are one source; documents of a source without any word get no
     copies; null keys and repeated rows count as rows of their own; an empty table gives an empty result.
-    Reruns agree: order and offsets come from hashes of key and source.
+    Reruns agree: order and offsets come from hashes of key and source. ``row`` may name a column that numbers the
+    rows; it is handed on as ``row`` and decides between rows that agree in all else.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(*([F.col(row).alias("row")] if row else []), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     return mix_sizes(stage(rows, "sizes"), weights, most, seed, block_rows)
 
 
 def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: str = "mix", block_rows: int = 4096) -> DataFrame:
-    """As :func:`systematic_mix`, from (doc_id, source, size)."""
+    """As :func:`systematic_mix`, from (doc_id, source, size) and, if there is one, row."""
+    own = ["row"] if "row" in rows.columns else []
     named = rows.withColumn("part", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     bits = F.bin("size")
     classed = named.withColumn("class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 1, 4)))
@@ -86,9 +89,13 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     targets = stage(targets, "targets")  # of known size: Spark broadcasts it below its own threshold only
     dealt = classed.join(targets, "part").withColumn("block", F.floor(fraction(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) * F.col("blocks")).cast("int"))
     sums = dealt.groupBy("part", "class", "block").agg(F.count(F.lit(1)).alias("in_block"))
-    before = W.partitionBy("part").orderBy("class", "block").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.withColumn("start", F.coalesce(F.sum("in_block").over(before), F.lit(0))).drop("in_block")
-    inside = W.partitionBy("part", "class", "block").orderBy("size", F.col("doc_id").asc_nulls_last())
+    upto_class = W.partitionBy("part").orderBy("class").rowsBetween(W.unboundedPreceding, -1)
+    upto_block = W.partitionBy("part", "class").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    classes = sums.groupBy("part", "class").agg(F.sum("in_block").alias("in_class"))
+    bases = classes.select("part", "class", F.coalesce(F.sum("in_class").over(upto_class), F.lit(0)).alias("base"))
+    within = sums.select("part", "class", "block", F.coalesce(F.sum("in_block").over(upto_block), F.lit(0)).alias("inner"))
+    starts = within.join(bases, ["part", "class"]).select("part", "class", "block", (F.col("base") + F.col("inner")).alias("start"))
+    inside = W.partitionBy("part", "class", "block").orderBy("size", F.col("doc_id").asc_nulls_last(), *own)
     placed = (
         dealt.withColumn("at", F.row_number().over(inside))
         .join(starts, ["part", "class", "block"])
@@ -96,10 +103,15 @@ def mix_sizes(rows: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), mos
     )
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     copies = F.least(upto(F.col("place")) - upto(F.col("place") - 1), F.lit(int(most))).cast("long")
-    return placed.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.withColumn("copies", copies).select(*own, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def emit(docs: DataFrame, copies: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns. Keys must be unique."""
-    picked = copies.where("copies > 0").select(F.col("doc_id").alias("__key"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return docs.join(picked, docs[key].eqNullSafe(picked["__key"])).drop("__key", "__copy")
+def emit(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its own columns. Keys may repeat or be null.
+
+    Options are those of :func:`systematic_mix`. Copies are dealt by key, so reruns agree unless keys repeat.
+    """
+    rows, row = numbered(docs)
+    copies = systematic_mix(rows, text, source, key, row=row, **options).where("copies > 0")
+    picked = copies.select(F.col("row").alias(row), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(times := free_name("times", rows)))
+    return rows.join(picked, row).withColumn(times, F.explode(times)).select(docs.columns)

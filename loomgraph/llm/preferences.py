@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.shared import free_name
+
 #: Fixed values of the rendering: a turn is OPEN role LINE text CLOSE.
 OPEN, LINE, CLOSE = "<|", "|>\n", "<|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
@@ -14,10 +16,10 @@ def conversations_to_turns(rows: DataFrame, key: str = "conv_id") -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order, as (role, text).
 
     Null roles read ``unknown`` and null texts are empty; turns of equal number are ordered by role and text, null
-    numbers come first; exactly repeated rows are one turn.
+    numbers come first; exactly repeated rows are one turn. Rows without an id are one conversation without an id.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    listed = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_set(turn)).alias("t"))
+    listed = rows.groupBy(F.col(key).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_set(turn)).alias("t"))
     return listed.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
@@ -25,7 +27,8 @@ def adjacent_pairs(convs: DataFrame) -> DataFrame:
     """Pairs of candidates from plain conversations: (pair_id, chosen_id, rejected_id, chosen, rejected).
 
     Conversations 2k and 2k + 1 are the candidates of pair k. The one with more assistant characters is chosen, then the
-    smaller id. A conversation without a partner is chosen, with a null rejected side.
+    smaller id. A conversation without a partner is chosen, with a null rejected side; so is that without an id, in a pair
+    without an id.
     """
     answers = F.aggregate(F.filter("turns", lambda t: t["role"] == "assistant"), F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]))
     one = F.struct((-answers).alias("rank"), F.col("conv_id"), F.col("turns"))
@@ -60,23 +63,24 @@ def format_preferences(pairs: DataFrame, trained: str = "assistant") -> DataFram
 
     ``pairs`` has ``chosen`` and ``rejected`` (TURNS); other columns are kept. The longest common prefix of turns, equal in
     role and text, is rendered once as ``prompt``. ``chosen_completion`` and ``rejected_completion`` are the rendered rest of
-    each side; ``chosen_mask`` and ``rejected_mask`` list the character spans of a completion on which loss is taken: the
+    each side (other columns of these names give way); ``chosen_mask`` and ``rejected_mask`` list the character spans of a completion on which loss is taken: the
     texts of ``trained`` turns with their closing mark. A null side has no turns, so its prefix and completion are empty;
     pairs of equal conversations have empty completions and masks; where one is a prefix of the other, its completion is.
     """
-    both = pairs.withColumn("__a", F.coalesce("chosen", F.array().cast(TURNS))).withColumn("__b", F.coalesce("rejected", F.array().cast(TURNS)))
-    shorter = F.least(F.size("__a"), F.size("__b"))
+    left, right, turns = (free_name(x, pairs) for x in ("chosen_turns", "rejected_turns", "prompt_turns"))
+    both = pairs.withColumn(left, F.coalesce("chosen", F.array().cast(TURNS))).withColumn(right, F.coalesce("rejected", F.array().cast(TURNS)))
+    shorter = F.least(F.size(left), F.size(right))
     norm = lambda t: F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
-    both = both.withColumn("__a", F.transform("__a", norm)).withColumn("__b", F.transform("__b", norm))
-    differ = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: (i <= shorter) & ~F.get(F.col("__a"), i - 1).eqNullSafe(F.get(F.col("__b"), i - 1)))
-    both = both.withColumn("prompt_turns", F.coalesce(F.array_min(differ) - 1, shorter))
-    rest = lambda c: F.slice(F.col(c), F.col("prompt_turns") + 1, F.greatest(F.size(c), F.lit(1)))
+    both = both.withColumn(left, F.transform(left, norm)).withColumn(right, F.transform(right, norm))
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: (i <= shorter) & ~F.get(F.col(left), i - 1).eqNullSafe(F.get(F.col(right), i - 1)))
+    both = both.withColumn(turns, F.coalesce(F.array_min(differ) - 1, shorter))
+    rest = lambda c: F.slice(F.col(c), F.col(turns) + 1, F.greatest(F.size(c), F.lit(1)))
     return both.select(
-        *[c for c in pairs.columns if c not in ("chosen", "rejected")],
-        "prompt_turns",
-        _render(F.slice(F.col("__a"), F.lit(1), F.col("prompt_turns"))).alias("prompt"),
-        _render(rest("__a")).alias("chosen_completion"),
-        _spans(rest("__a"), trained).alias("chosen_mask"),
-        _render(rest("__b")).alias("rejected_completion"),
-        _spans(rest("__b"), trained).alias("rejected_mask"),
+        *[c for c in pairs.columns if c.lower() not in ("chosen", "rejected", "prompt_turns", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask")],
+        F.col(turns).alias("prompt_turns"),
+        _render(F.slice(F.col(left), F.lit(1), F.col(turns))).alias("prompt"),
+        _render(rest(left)).alias("chosen_completion"),
+        _spans(rest(left), trained).alias("chosen_mask"),
+        _render(rest(right)).alias("rejected_completion"),
+        _spans(rest(right), trained).alias("rejected_mask"),
     )

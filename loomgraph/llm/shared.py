@@ -14,10 +14,12 @@ _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return _OWN[0]
@@ -45,6 +47,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def free_name(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    return next(n for n in (f"{stem}_{k}" for k in range(len(taken) + 1)) if n not in taken)
+
+
+def numbered(df: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, staged so that the numbers stay, and the name of their column."""
+    name = free_name("row", df)
+    return stage(df.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
 def discard(df: DataFrame) -> None:
     """Delete a staged table that no result refers to any more."""
     path = getattr(df, "staged_path", None)

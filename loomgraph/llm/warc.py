@@ -21,7 +21,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 
 RECORD = (
-    "file string, offset long, type string, record_id string, concurrent_to string, refers_to string, uri string, "
+    "file string, offset long, type string, record_id string, concurrent_to array<string>, refers_to string, uri string, "
     "date string, declared_digest string, payload_bytes long, payload_digest string, head string, payload binary"
 )
 
@@ -68,14 +68,14 @@ def plan_records(pages: DataFrame, least: int = 0) -> DataFrame:
     return joined.select("page_id", "payload_bytes", "payload_digest", F.coalesce("best_id", "page_id").alias("keep_id")).distinct()
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_warc(pages: DataFrame, path: str, least: int = 0, most: int = 30_000) -> None:
     """Write gzipped archives under ``path``: for each page a request, a response or revisit, and a metadata record.
 
     ``pages`` has page_id, url and html; the payload is the html in UTF-8, null counts as empty. The response
     or revisit record names its capture; the others point to it by WARC-Concurrent-To. A revisit stores no
     payload and refers to the record that does. page_id is written into the metadata record. Rows that
     repeat page_id and payload are one capture; a null page_id is an identifier of its own that never outranks
-    another. Empty tables give no records. Archives hold what one task writes, whose input Spark bounds by its partition sizes.
+    another. Empty tables give no records. An archive holds at most ``most`` records of one task.
     """
     plan = plan_records(pages, least).select(F.col("page_id").alias("p_id"), F.col("payload_digest").alias("p_digest"), "keep_id")
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -100,7 +100,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     metadata = _record("metadata", [*common(_record_id("metadata", key)), ("WARC-Concurrent-To", main)], "application/warc-fields", facts)
     stored = F.when(stays, response).otherwise(revisit)
     records = full.select(F.explode(F.array(request, stored, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def _open(content: bytes) -> bytes:
@@ -118,7 +118,7 @@ def _open(content: bytes) -> bytes:
 def parse(data: bytes, payloads: bool = True) -> Iterator[tuple]:
     """Records of an archive: offset, type, ids, uri, date, digest and payload, led by their declared lengths.
 
-    The payload of an HTTP block is what follows its header; of other blocks, the block. Records cut short
+    The header that names concurrent records may repeat. The payload of an HTTP block is what follows its header; of other blocks, the block. Records cut short
     by the archive's end are given with what there is.
     """
     at = 0
@@ -126,10 +126,13 @@ def parse(data: bytes, payloads: bool = True) -> Iterator[tuple]:
         split = data.find(b"\r\n\r\n", at)
         if split < 0:
             return
-        head = {}
+        head, beside = {}, []
         for line in data[at:split].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
+            name, value = name.strip().lower(), value.strip().decode("utf-8", "replace")
+            if name == b"warc-concurrent-to":
+                beside.append(value)
+            head[name] = value
         length = head.get(b"content-length", "")
         length = int(length) if length.isdigit() else 0
         block = data[split + 4 : split + 4 + length]
@@ -142,13 +145,13 @@ def parse(data: bytes, payloads: bool = True) -> Iterator[tuple]:
         given = head.get(b"warc-payload-digest", "").removeprefix("sha1:") or None
         keep = payloads or kind == "metadata"
         yield (
-            at, kind, head.get(b"warc-record-id"), head.get(b"warc-concurrent-to"), head.get(b"warc-refers-to"), head.get(b"warc-target-uri"),
+            at, kind, head.get(b"warc-record-id"), beside or None, head.get(b"warc-refers-to"), head.get(b"warc-target-uri"),
             head.get(b"warc-date"), given, len(body), digest, front.decode("latin-1"), body if keep else None,
         )
         at = split + 4 + length
 
 
-_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 7, pa.int64(), pa.string(), pa.string(), pa.binary()]
+_TYPES = [pa.string(), pa.int64(), *[pa.string()] * 2, pa.list_(pa.string()), *[pa.string()] * 4, pa.int64(), pa.string(), pa.string(), pa.binary()]
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 
 
@@ -181,7 +184,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Returns (capture_id, uri, main STRUCT, requests ARRAY<STRUCT>, metadata ARRAY<STRUCT>, others ARRAY<STRUCT>).
     The main record is a response, revisit or resource. Another record belongs to the main record it names, or
-    that names it; a record that names a request or metadata record follows it to its capture (one step more).
+    that names it; a record that names other side records follows them to their capture, over any number of steps,
+    and goes to the nearest, of several the least.
     Records that reach no main record form captures of their own, with a null main, under the identifier they
     name or else their own; warcinfo records are left out. Records without identifier are captures of their own
     and lie under a digest of their place. Records whose identifier occurs twice are taken once, the first by file and
@@ -196,16 +200,22 @@ def assemble(records: DataFrame) -> DataFrame:
     rest = named.where(~F.coalesce(F.col("type").isin(kinds), F.lit(False)))
     mains = main.groupBy("record_id").agg(F.min_by(body, F.struct("file", "offset")).alias("main"))
     #: Links of side records to captures: they name a main record, or it names them.
-    points = rest.select(F.col("record_id").alias("side"), F.col("concurrent_to").alias("to"))
+    points = rest.select(F.col("record_id").alias("side"), F.explode("concurrent_to").alias("to"))
     heads = main.select(F.col("record_id").alias("capture")).distinct()
-    names = main.where("concurrent_to is not null").select(F.col("concurrent_to").alias("side"), F.col("record_id").alias("capture"))
+    names = main.select(F.explode("concurrent_to").alias("side"), F.col("record_id").alias("capture"))
     direct = points.join(heads, points["to"] == heads["capture"]).select("side", "capture").union(names).groupBy("side").agg(F.min("capture").alias("capture"))
-    step = points.join(direct.select(F.col("side").alias("via"), F.col("capture").alias("by")), F.col("to") == F.col("via")).select("side", F.col("by").alias("capture"))
-    known = direct.withColumn("far", F.lit(0)).union(step.withColumn("far", F.lit(1))).groupBy("side").agg(F.min(F.struct("far", "capture"))["capture"].alias("capture"))
+    known = near = stage(direct, "links")
+    while True:
+        #: What names a record placed in the last step and has no place yet; chains are short, so steps are few.
+        step = points.join(near.select(F.col("side").alias("to"), "capture"), "to").join(known.select("side"), "side", "left_anti")
+        near = stage(step.groupBy("side").agg(F.min("capture").alias("capture")), "links")
+        if not near.take(1):
+            break
+        known = known.union(near)
     placed = (
         rest.select("record_id", "concurrent_to", "type", body.alias("record"))
         .join(known, F.col("record_id") == F.col("side"), "left")
-        .select(F.coalesce("capture", "concurrent_to", "record_id").alias("capture"), "type", "record")
+        .select(F.coalesce("capture", F.array_min("concurrent_to"), "record_id").alias("capture"), "type", "record")
     )
     of = lambda cond: F.sort_array(F.collect_set(F.when(cond, F.col("record"))))
     kind = F.coalesce(F.col("type"), F.lit(""))

@@ -101,12 +101,29 @@ def test_repeated_rows_keep_one(spark):
 
 def test_index_updates(spark):
     rows = lambda x: cuckoo.digest_rows(docs(spark, x))
-    first = cuckoo.build_index(rows([(1, "a"), (2, "a"), (3, "b")]), 2)
-    gone = rows([(2, "a"), (3, "b"), (9, "none")]).select("digest", "n")
-    after = cuckoo.update_index(first, rows([(4, "c"), (5, "a a")]), gone, 2)
-    got = {bytes(r.digest): r.n for r in after.collect()}
+    first = cuckoo.build_index(rows([(1, "a"), (2, "a"), (3, "b"), (6, "k  "), (7, "k "), (8, "k"), (8, "k")]), 2)
+    gone = rows([(2, "a"), (3, "b"), (9, "none"), (6, "k  "), (7, "k ")])
+    live = rows([(1, "a"), (8, "k"), (8, "k"), (4, "c"), (5, "a a")])
+    after = cuckoo.update_index(first, rows([(4, "c"), (5, "a a")]), gone, live, 2)
+    got = {bytes(r.digest): (r.n, r.doc_id, r.length, r.ties) for r in after.collect()}
     sha = lambda s: hashlib.sha256(s.encode()).digest()
-    assert got == {sha("a"): 1, sha("aa"): 1, sha("c"): 1}
+    assert got == {sha("a"): (1, 1, 1, 1), sha("aa"): (1, 5, 3, 1), sha("c"): (1, 4, 1, 1), sha("k"): (2, 8, 1, 2)}
+
+
+def test_filter_decides_whether_stored_keys_are_asked():
+    index, asked = cuckoo.CuckooIndex(1 << 10), []
+
+    class Bucket(dict):
+        def __contains__(self, key):
+            asked.append(key)
+            return super().__contains__(key)
+
+    keys = [hashlib.sha256(str(i).encode()).digest() for i in range(500)]
+    for k in keys:
+        index.stored.setdefault(index._content(k), Bucket())
+        index.insert(k, 1)
+    assert len(asked) < 25
+    assert not index.insert(keys[0], 2) and asked[-1] == keys[0]
 
 
 def brute_jaccard(rows):

@@ -33,3 +33,29 @@ def test_stages_keep_what_plain_python_keeps(spark):
         packed[r.doc_id] += r.length
     tokens = {r.doc_id: r.doc_tokens for r in kept[4].collect()}
     assert packed == {i: n * tokens[i] for i, n in copies.items()}
+
+
+def test_stages_go_by_rows_where_keys_repeat_or_are_null(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"do{rng.randrange(10**6)}" for _ in range(40)) for _ in range(30)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __key int, row_0 int, prompt string"
+    rows = [(i % 5 if i % 3 else None, t, "aa" if i % 2 else "bb", None if i < 6 else "s", 0, i, i, "p") for i, t in enumerate(texts)]
+    rows += [(None, texts[3] + " tail", "aa", "s", 0, 103, 3, "p"), (4, texts[4] + " tail", "aa", "s", 0, 104, 3, "p"), rows[7], rows[7], (9, None, "aa", "s", 0, 105, 1, "p"), (9, "", "aa", "s", 0, 106, 1, "p")]
+    frame = spark.createDataFrame(rows, schema)
+    kept, docs = [], frame
+    for _, step in corpus_pipeline.STAGES[:4]:
+        docs = stage(step(spark, docs, ""), "test")
+        assert docs.columns == frame.columns
+        kept.append(sorted(r["__key"] for r in docs.collect()))
+    assert kept[0] == sorted([*range(30), 103, 104, 7, 7]) and kept[1] == sorted([*range(30), 103, 104])
+    assert len(kept[2]) == 30 and {103, 104}.isdisjoint(set(kept[2]) & {103 if rows[3][0] is not None else 3}) and len({3, 103} & set(kept[2])) == 1 == len({4, 104} & set(kept[2]))
+    copies = collections.Counter(kept[3])
+    assert set(copies) <= set(kept[2]) and max(copies.values()) <= 3
+    assert corpus_pipeline.STAGES[4][1](spark, docs, "").count() >= len(kept[3])
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, ""), "test")
+        assert docs.count() == 0

@@ -93,6 +93,17 @@ def test_assembly_follows_links_both_ways_and_one_step_further(spark, tmp_path):
     assert ids(got["<r2>"].requests) == ["<q2>"] and got["<gone>"].main is None and ids(got["<gone>"].requests) == ["<q3>"] and got["<s>"].requests == []
 
 
+def test_assembly_follows_long_chains_and_repeated_headers(spark, tmp_path):
+    twice = record("metadata", "<m0>", "<q0>").replace(b"Content-Length", b"WARC-Concurrent-To: <far>\r\nContent-Length")
+    both = record("response", "<r>", "<q0>").replace(b"Content-Length", b"WARC-Concurrent-To: <m9>\r\nContent-Length")
+    chain = [record("metadata", f"<c{k}>", f"<c{k - 1}>" if k else "<q0>") for k in range(6)]
+    data = [both, record("request", "<q0>"), record("metadata", "<m9>"), twice, *chain, record("metadata", "<x>", "<y>"), record("metadata", "<y>", "<x>")]
+    (tmp_path / "a.warc").write_bytes(b"".join(data)[:-3])
+    got = {r.capture_id: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert sorted(x.record_id for x in got["<r>"].metadata) == sorted(["<m0>", "<m9>", *[f"<c{k}>" for k in range(6)]]) and [x.record_id for x in got["<r>"].requests] == ["<q0>"]
+    assert set(got) == {"<r>", "<x>", "<y>"} and got["<x>"].main is None
+
+
 # ---- preferences
 
 
@@ -122,12 +133,23 @@ def test_conversations_with_nulls_and_ties(spark):
     rows = [(0, 1, "user", "q"), (0, None, None, None), (0, 1, "user", "q"), (0, 1, "assistant", "z"), (1, 1, "user", "q"), (None, 1, "user", "q"), (7, 1, "user", "alone")]
     turns = preferences.conversations_to_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as t"))
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in turns.collect()}
-    assert got == {0: [("unknown", ""), ("assistant", "z"), ("user", "q")], 1: [("user", "q")], 7: [("user", "alone")]}
+    assert got == {0: [("unknown", ""), ("assistant", "z"), ("user", "q")], 1: [("user", "q")], 7: [("user", "alone")], None: [("user", "q")]}
     out = {r.pair_id: r for r in preferences.format_preferences(preferences.adjacent_pairs(turns)).collect()}
     assert (out[0].chosen_id, out[0].rejected_id, out[3].chosen_id, out[3].rejected_id, out[3].rejected_completion) == (0, 1, 7, None, "")
+    assert (out[None].chosen_id, out[None].rejected_id, out[None].chosen_completion) == (None, None, render([("user", "q")]))
     assert preferences.conversations_to_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_preferences_with_clashing_columns_and_a_long_text(spark):
+    long = "x" * 3_000_000
+    rows = [(1, [("user", "q"), ("assistant", long)], [("user", "q"), ("assistant", "n")], "mine", 5, "kept")]
+    frame = spark.createDataFrame(rows, f"pair_id long, chosen {preferences.TURNS}, rejected {preferences.TURNS}, prompt string, prompt_turns_0 int, chosen_turns_0 string")
+    out = preferences.format_preferences(frame)
+    assert sorted(out.columns) == sorted(["pair_id", "prompt_turns_0", "chosen_turns_0", "prompt_turns", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask"])
+    got = out.collect()[0]
+    assert (got.prompt, got.prompt_turns, got.prompt_turns_0, got.chosen_turns_0) == (render([("user", "q")]), 1, 5, "kept") and got.chosen_completion == render([("assistant", long)])
+
+
 # ---- mixing
 
 
@@ -184,7 +206,7 @@ def test_mixing_edge_cases(spark):
     assert mixing.systematic_mix(docs(spark, [])).count() == 0
     assert [r.taken for r in mixing.systematic_mix(docs(spark, [(1, None)])).collect()] == [0]
     table = docs(spark, [(i, "w " * 10) for i in range(50)])
-    mixed = mixing.emit(table, mixing.systematic_mix(table))
+    mixed = mixing.emit(table)
     assert mixed.columns == table.columns and mixed.count() == 50
 
 
@@ -353,6 +375,23 @@ def test_language_id_held_out_accuracy_and_switches(spark):
     assert crf.identify(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_language_id_learns_every_label_and_keeps_mixed_texts(spark):
+    rng = random.Random(1)
+    names = [f"l{i:02d}" for i in range(70)]
+    syllables = {x: ["".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiouy") for _ in range(2)) for _ in range(6)] for x in names}
+    rows = [(i, invented(rng, syllables[x], 20), x, "s", 0) for i, x in enumerate(names * 4)]
+    model = crf.fit(spark.createDataFrame(rows, DOCS), per_label=3, most_rows=140)
+    assert model.labels == names
+    got = [r.lang for r in crf.sample(spark.createDataFrame(rows, DOCS), "text", "lang", "doc_id", 3, 1, 3, 140).collect()]
+    assert set(got) == set(names) and len(got) <= 140
+    model = crf.fit(spark.createDataFrame([r for r in rows if r[2] < "l03"] * 8, DOCS))
+    mixed = " ".join(invented(rng, syllables[x], 15) for x in ("l00", "l01", "l02"))
+    frame = spark.createDataFrame([(1, mixed, 5), (1, "12 ?", 6), (None, invented(rng, syllables["l01"], 9), 7), (2, None, 8), (2, "", 9)], "doc_id long, text string, lettered_0 int")
+    kept = crf.keep_identified(frame, model)
+    assert kept.columns == frame.columns and sorted(r.lettered_0 for r in kept.collect()) == [5, 7]
+    assert crf.fit(spark.createDataFrame([], DOCS)).labels == [] and crf.keep_identified(frame, crf.fit(spark.createDataFrame([], DOCS))).count() == 0
+
+
 def test_features_do_not_cross_words():
     one = crf.features(["ab cd"], np.zeros(0, np.uint64))[0]
     two = crf.features(["cd", "xx ab\n"], np.zeros(0, np.uint64))[0]
