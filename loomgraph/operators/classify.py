@@ -17,16 +17,46 @@ from loomgraph.plans.checkpoint import cut
 R = model.RANK
 
 
+def _plain(path: str) -> Column:
+    return F.regexp_replace(path, r"^\./", "")
+
+
+def entry_files(paths: DataFrame, entries: DataFrame, key: int = 8) -> DataFrame:
+    """J-12: (entry_file, file_path) where one of the paths, without a leading ``./``, ends with the other.
+
+    Entry files may be absolute and graph paths relative, or the other way round. Pairs must agree in their last ``key``
+    characters, so this is an equi-join; only paths shorter than that are joined by their last character.
+    """
+    own = paths.select("file_path", _plain("file_path").alias("p")).where("p <> ''").distinct()
+    asked = entries.select("entry_file", _plain("entry_file").alias("e")).where("e <> ''").distinct()
+    ends = F.col("p").endswith(F.col("e")) | F.col("e").endswith(F.col("p"))
+    out = []
+    for n, short in ((key, F.least(F.length("p"), F.length("e")) >= key), (1, F.least(F.length("p"), F.length("e")) < key)):
+        both = own.withColumn("end", F.right("p", F.lit(n))).join(asked.withColumn("end", F.right("e", F.lit(n))), "end")
+        out.append(both.where(short & ends).select("entry_file", "file_path"))
+    return out[0].union(out[1])
+
+
+def files_below(paths: DataFrame, entries: DataFrame) -> DataFrame:
+    """(entry_file, file_path) where the entry is the file or a directory above it, by joining each path's directories."""
+    parts = F.split(_plain("file_path"), "/")
+    above = paths.select("file_path").distinct().select("file_path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("e"))
+    return above.join(entries.select("entry_file", _plain("entry_file").alias("e")).distinct(), "e").select("entry_file", "file_path")
+
+
 def roots(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """O-109: (role, node) with role production, test or public_api.
 
-    ``entries`` is (kind, file_path): bin, build and bench files, and lib, test and example files or directories. A binary
-    or build file contributes its callables named main, or all its symbols if it has none; a bench file all of them.
-    Retain attributes and Go's ``init`` outside tests make production roots too.
+    ``entries`` is (kind, file_path): bin, build and bench files, which are matched by suffix (:func:`entry_files`), and lib,
+    test and example files or directories. A binary or build file contributes its callables named main, or all its
+    symbols if it has none; a bench file all of them. Retain attributes and Go's ``init`` outside tests make production
+    roots too.
     """
-    at = entries.select(F.col("kind").alias("entry"), F.col("file_path").alias("entry_file"))
-    here = nodes.join(at, (F.col("file_path") == F.col("entry_file")) | (F.col("file_path").startswith(F.concat("entry_file", F.lit("/"))) & F.col("entry").isin("lib", "test", "example")))
-    binary = here.where(F.col("entry").isin("bin", "build") & (F.col("file_path") == F.col("entry_file")))
+    at = entries.select(F.col("kind").alias("entry"), F.col("file_path").alias("entry_file")).distinct()
+    listed = F.col("entry").isin("bin", "build", "bench")
+    found = at.where(listed).join(entry_files(nodes, at.where(listed)), "entry_file").unionByName(at.where(~listed).join(files_below(nodes, at.where(~listed)), "entry_file"))
+    here = nodes.join(found, "file_path")
+    binary = here.where(F.col("entry").isin("bin", "build"))
     mains = binary.where(P.has_role("kind", "callable") & (P.short_name("symbol_name") == "main"))
     whole = binary.join(mains.select("entry_file").distinct(), "entry_file", "left_anti")
     label = lambda df, role: df.select(F.lit(role).alias("role"), F.col("memory_id").alias("node"))

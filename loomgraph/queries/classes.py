@@ -37,6 +37,13 @@ query(
     UNION SELECT 'test', memory_id FROM h WHERE entry = 'test' UNION SELECT 'public_api', memory_id FROM h WHERE entry = 'lib' AND visibility = 'pub' AND kind IN ('struct', 'trait') AND NOT coalesce(is_test_only, false)""",
 )(lambda t: C.roots(t.nodes, t.spark.createDataFrame([("bin", "market/BUILDING"), ("bench", "market/FURNITURE"), ("lib", "supply"), ("test", "orders/1996")], "kind string, file_path string")))
 
+query(
+    "j12_entry_suffix",
+    over("nodes")
+    + """, e AS (SELECT unnest(['./market/BUILDING', '/home/x/repo/market/FURNITURE', 'OUSEHOLD', 'G', 'supply/none']) AS entry_file), p AS (SELECT DISTINCT file_path FROM nodes)
+    SELECT entry_file, file_path FROM p JOIN e ON ends_with(regexp_replace(entry_file, '^[.]/', ''), file_path) OR ends_with(file_path, regexp_replace(entry_file, '^[.]/', ''))""",
+)(lambda t: C.entry_files(t.nodes, t.spark.createDataFrame([("./market/BUILDING",), ("/home/x/repo/market/FURNITURE",), ("OUSEHOLD",), ("G",), ("supply/none",)], "entry_file string")))
+
 #: P1 has no callable inside a type and no field, so passes 6, 8 and 9 change nothing here; unit tests cover them.
 _CLASSES = (
     _ROOTS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import clones, grep, paging
 from loomgraph.queries.base import over, query
-from loomgraph.sources import facts, files
+from loomgraph.sources import facts, files, python_extractor
 from loomgraph.streaming import watch
 
 _LINES = ", l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM files)"
@@ -205,3 +205,53 @@ def _(t):
 from loomgraph.queries.base import ORACLE  # noqa: E402
 
 ORACLE["p04_page_links"] = "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS dst FROM pages) SELECT page_id, dst, count(*) AS n FROM l GROUP BY ALL"
+
+
+#: A source of each language about the part ``#``, and its symbols: name, kind, parent, first and last line, relations.
+_SOURCES = {
+    "rust": (
+        "// fn no() {}\npub struct P# {\n    pub key: Tag,\n}\nimpl Shape for P# {\n    fn area(&self) -> u32 {\n        helper#(\"fn x() {\")\n    }\n}\n#[cfg(test)]\nmod tests {\n    #[test]\n    fn works() {}\n}\n",
+        [("P#", "struct", "", 1, 3, ""), ("key", "field", "P#", 2, 2, "type_of:Tag"), ("Shape for P#", "impl", "", 4, 8, "implements:Shape"), ("area", "method", "P#", 5, 7, "calls:helper#"), ("tests", "module", "", 10, 13, ""), ("works", "function", "tests", 12, 12, "")],
+    ),
+    "go": (
+        "package a\nimport \"net/http\"\ntype P# struct {\n\tKey Tag\n}\ntype Shape interface {\n\tArea() int\n}\nfunc (p *P#) Area() int {\n\treturn helper#(`func x() {`)\n}\nconst Max = #\n",
+        [("http", "import", "", 1, 1, "references:http"), ("P#", "struct", "", 2, 4, ""), ("Key", "field", "P#", 3, 3, "type_of:Tag"), ("Shape", "trait", "", 5, 7, ""), ("Area", "method", "Shape", 6, 6, ""), ("Area", "method", "P#", 8, 10, "calls:helper#"), ("Max", "const", "", 11, 11, "")],
+    ),
+    "python": (
+        "from a import b\nclass P#(Base):\n    key: Tag\n    def area(self):\n        return helper#('def x():')\nMAX = #\n",
+        [("b", "import", "", 0, 0, "references:b"), ("P#", "class", "", 1, 4, "extends:Base"), ("key", "field", "P#", 2, 2, "type_of:Tag"), ("area", "method", "P#", 3, 4, "calls:helper#"), ("MAX", "const", "", 5, 5, "")],
+    ),
+    "typescript": (
+        "import { a as b } from './c';\nexport class P# extends Base implements Shape {\n  private key: Tag;\n  area(): number {\n    return helper#('class x {');\n  }\n}\nexport interface Shape {\n  area(): number;\n}\nconst go = (x: number) => helper#(x);\n",
+        [("b", "import", "", 0, 0, "references:a"), ("P#", "class", "", 1, 6, "extends:Base,implements:Shape"), ("key", "field", "P#", 2, 2, "type_of:Tag"), ("area", "method", "P#", 3, 5, "calls:helper#"), ("Shape", "interface", "", 7, 9, ""), ("area", "method", "Shape", 8, 8, ""), ("go", "callable_value", "", 10, 10, "calls:helper#")],
+    ),
+}
+
+
+def _symbols(t, only=None):
+    text = F.replace(F.get(F.array(*[F.lit(x) for x, _ in _SOURCES.values()]), F.col("l")), F.lit("#"), F.col("p_partkey").cast("string"))
+    of = F.lit(list(_SOURCES).index(only)) if only else (F.col("p_partkey") % 5).cast("int")
+    name = F.coalesce(F.get(F.array(*[F.lit(x) for x in _SOURCES]), F.col("l")), F.lit("unknown"))
+    parts = t.table("part").select("p_partkey", of.alias("l"))
+    found = python_extractor.extract(parts.select(F.concat(F.lit("src/f"), "p_partkey").alias("path"), name.alias("language"), F.coalesce(text, F.lit("")).cast("binary").alias("content")))
+    links = F.array_join(F.transform("relations", lambda r: F.concat(r["tag"], F.lit(":"), r["target"])), ",")
+    return found.select("file_path", "name", "kind", "parent", "line_start", "line_end", links.alias("links"))
+
+
+def _symbols_sql(only=None):
+    said = []
+    for k, (language, (_, rows)) in enumerate(_SOURCES.items()):
+        if only in (None, language):
+            values = ", ".join("('{}', '{}', '{}', {}, {}, '{}')".format(*r) for r in rows)
+            said.append(
+                f"SELECT 'src/f' || p_partkey AS file_path, replace(name, '#', p_partkey::VARCHAR) AS name, kind, replace(parent, '#', p_partkey::VARCHAR) AS parent, a::INT AS line_start, b::INT AS line_end, "
+                f"replace(links, '#', p_partkey::VARCHAR) AS links FROM part, (VALUES {values}) AS v(name, kind, parent, a, b, links)" + ("" if only else f" WHERE p_partkey % 5 = {k}")
+            )
+    return " UNION ALL ".join(said)
+
+
+query("o04_extract_sources", _symbols_sql())(_symbols)
+query("o05_rust_symbols", _symbols_sql("rust"))(lambda t: _symbols(t, "rust"))
+query("o06_go_symbols", _symbols_sql("go"))(lambda t: _symbols(t, "go"))
+query("o07_python_symbols", _symbols_sql("python"))(lambda t: _symbols(t, "python"))
+query("o08_typescript_symbols", _symbols_sql("typescript"))(lambda t: _symbols(t, "typescript"))

@@ -1,4 +1,4 @@
-"""Symbols and relations of Python sources (O-04, O-07). Other languages' facts come as tables of the same schema."""
+"""Symbols and relations of sources by language (O-04), and of Python sources (O-07)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from loomgraph.sources import brace_extractor
+
 SYMBOLS = (
     "file_path string, name string, kind string, parent string, start_byte long, end_byte long, line_start int, line_end int, signature string, "
     "doc_comment string, content_hash string, visibility string, is_test_only boolean, is_test_root boolean, has_body boolean, entry_retain int, "
@@ -134,7 +136,7 @@ def extract_python(path: str, source: str) -> list[tuple]:
 
 
 #: O-04: extractors by language. A new language is one entry.
-EXTRACTORS: dict[str, Callable[[str, str], list[tuple]]] = {"python": extract_python}
+EXTRACTORS: dict[str, Callable[[str, str], list[tuple]]] = {"python": extract_python, **brace_extractor.EXTRACTORS}
 
 
 def extract(files: DataFrame) -> DataFrame:
