@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
@@ -54,8 +56,21 @@ def free_name(stem: str, *frames: DataFrame) -> str:
 
 
 def numbered(df: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
-    """``df`` with a number for each row, staged so that the numbers stay, and the name of their column."""
+    """``df`` with a number for each row that stays the same whenever it is read, and the name of their column.
+
+    Rows of Parquet files are numbered by file, in the order of the names, and by place in it; other rows are staged.
+    """
     name = free_name("row", df)
+    if df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            file, place = free_name("file", df), free_name("place", df)
+            placed = df.withColumn(file, F.col("_metadata.file_path")).withColumn(place, F.col("_metadata.row_index"))
+            files = placed.select(F.col(file).alias("of")).distinct().withColumn("number", F.row_number().over(W.orderBy("of")))
+            #: 2**38 rows to a file and 2**25 files.
+            number = F.shiftleft(F.col("number").cast("long"), 38) + F.col(place)
+            return placed.join(stage(files, label), F.col(file) == F.col("of")).select(*df.columns, number.alias(name)), name
+        except AnalysisException:
+            pass
     return stage(df.withColumn(name, F.monotonically_increasing_id()), label), name
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import grouped
+from loomgraph.llm.shared import numbered
 
 
 @pytest.fixture
@@ -36,3 +37,16 @@ def test_groups_span_batches(spark, size_of_batches):
 
     got = {r.k: r.n for r in grouped.map_groups(rows, ["k"], count, "k long, n long").collect()}
     assert got == {k: len(range(k, 2000, 7)) for k in range(7)}
+
+
+def test_numbers_of_rows_stay_and_differ(spark, tmp_path):
+    path = "file://" + str(tmp_path / "rows")
+    spark.range(1000).selectExpr("id % 7 as row_0", "id").repartition(5).write.parquet(path)
+    read = spark.read.parquet(path)
+    for frame in (read, read.where("id >= 0"), spark.range(1000).selectExpr("id % 7 as row_0", "id")):
+        rows, name = numbered(frame)
+        assert name == "row_1" and rows.columns == ["row_0", "id", "row_1"]
+        once = {r.id: r.row_1 for r in rows.collect()}
+        again = {r.id: r.row_1 for r in rows.repartition(3).collect()}
+        assert once == again and len(once) == len(set(once.values())) == 1000
+    assert "_metadata" not in read.columns
