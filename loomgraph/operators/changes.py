@@ -37,12 +37,12 @@ def live_state(live: DataFrame, indexed: DataFrame) -> DataFrame:
     return joined.select("path", state.alias("state"))
 
 
-def freshness(live: DataFrame, indexed: DataFrame, most: int = 50_000) -> DataFrame:
-    """O-133: one row (status, differing, population): fresh only if both path sets and all hashes agree; unknown for an empty or too large population."""
+def freshness(live: DataFrame, indexed: DataFrame, most: int | None = None) -> DataFrame:
+    """O-133: one row (status, differing, population): fresh only if both path sets and all hashes agree; unknown for an empty population, or one of more than ``most`` paths."""
     diff = full_diff(indexed, live, ["path"], "hash")
     facts = diff.agg(F.count(F.lit(1)).alias("population"), F.count_if(F.col("change") != "unchanged").alias("differing"))
     n = F.col("population")
-    return facts.select(F.when((n == 0) | (n > most), F.lit("unknown")).when(F.col("differing") > 0, F.lit("stale")).otherwise(F.lit("fresh")).alias("status"), "differing", "population")
+    return facts.select(F.when((n == 0) | (F.lit(False) if most is None else n > most), F.lit("unknown")).when(F.col("differing") > 0, F.lit("stale")).otherwise(F.lit("fresh")).alias("status"), "differing", "population")
 
 
 def baseline_diff(before: DataFrame, after: DataFrame) -> DataFrame:

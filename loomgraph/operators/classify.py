@@ -74,14 +74,15 @@ def roots(nodes: DataFrame, entries: DataFrame) -> DataFrame:
 
 def reach_sets(nodes: DataFrame, edges: DataFrame, root_rows: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """O-61, O-96: (node, rank) by set algebra: production reach is wired, what only the public API reaches is public_api, what only tests reach is test_only."""
-    pairs, test_pairs = W.steps(edges, W.CLASSIFIER_CALLS, nodes), W.steps(edges, W.without_tests(W.CLASSIFIER_CALLS))
-    of = lambda role: root_rows.where(F.col("role") == role).select("node")
-    parts = [(pairs, "production", "wired"), (pairs, "public_api", "public_api"), (test_pairs, "test", "test_only")]
-    out = None
-    for steps, role, label in parts:
-        one = W.reach(steps, of(role), within=population).select("node", F.lit(R[label]).alias("rank"))
-        out = one if out is None else out.union(one)
-    return out.groupBy("node").agg(F.min("rank").alias("rank"))
+    rank = F.when(F.col("role") == "production", R["wired"]).when(F.col("role") == "public_api", R["public_api"]).when(F.col("role") == "test", R["test_only"])
+    return _closures(W.marked_steps(edges, W.CLASSIFIER_CALLS, nodes), root_rows.select(rank.alias("root"), "node").where("root is not null"), population)
+
+
+def _closures(pairs: DataFrame, roots: DataFrame, population: DataFrame | None) -> DataFrame:
+    """(node, rank): the least rank whose roots (root: a rank, node) reach a node; all ranks walk at once, and only tests step into test modules."""
+    start = roots.distinct() if population is None else roots.distinct().join(population.select("node"), "node", "left_semi").select("root", "node")
+    found = W.walk(pairs, start, within=population, taken=~F.col("test") | (F.col("root") == R["test_only"]))
+    return found.groupBy("node").agg(F.min("root").alias("rank"))
 
 
 def _ranked(state: DataFrame, id_name: str, rank_name: str) -> DataFrame:
@@ -143,18 +144,15 @@ def guard_tiers(nodes: DataFrame, edges: DataFrame, state: DataFrame) -> DataFra
 
 def guard_rescue(nodes: DataFrame, edges: DataFrame, state: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Pass 8: rescued callables seed their tier's closure again; dead and rescued nodes take better tiers until nothing changes."""
-    pairs, test_pairs = W.steps(edges, W.CLASSIFIER_CALLS, nodes), W.steps(edges, W.without_tests(W.CLASSIFIER_CALLS))
+    pairs = None
     now = cut(state.select("node", "rank", F.lit(False).alias("folded")), "rescue")
     while True:
         found = cut(guard_tiers(nodes, edges, now), "rescue")
         if not found.take(1):
             return now.select("node", "rank")
-        offers = found
-        for tier, steps in (("wired", pairs), ("public_api", pairs), ("test_only", test_pairs)):
-            seeds = found.where(F.col("tier") == R[tier]).select("node")
-            if seeds.take(1):
-                offers = offers.union(W.reach(steps, seeds, within=population).select("node", F.lit(R[tier]).alias("tier")))
-        best = offers.groupBy("node").agg(F.min("tier").alias("tier"))
+        pairs = pairs if pairs is not None else cut(W.marked_steps(edges, W.CLASSIFIER_CALLS, nodes), "steps")
+        spread = _closures(pairs, found.select(F.col("tier").alias("root"), "node"), population).select("node", F.col("rank").alias("tier"))
+        best = found.select("node", "tier").union(spread).groupBy("node").agg(F.min("tier").alias("tier"))
         better = ((F.col("rank") == R["dead"]) | F.col("folded")) & (F.col("tier") < F.col("rank"))
         now = cut(now.join(best, "node", "left").select("node", F.when(better, F.col("tier")).otherwise(F.col("rank")).alias("rank"), (F.col("folded") | F.coalesce(better, F.lit(False))).alias("folded")), "rescue")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.functions import predicates as P
 from loomgraph.plans import walk as walks
-from loomgraph.plans.checkpoint import cut
+from loomgraph.plans.checkpoint import cut, placed
 
 COUPLING = ["calls", "implements", "references", "type_of"]
 
@@ -53,9 +53,10 @@ def upper_percentile(values: DataFrame, column: str, p: float) -> DataFrame:
 
 def rank_percentile(rows: DataFrame, column: str, tie: str) -> DataFrame:
     """O-92: rows with ``percentile`` = place / (n - 1) by value, ties by ``tie``; a single row has 0."""
-    order = W.orderBy(column, tie)
-    n = F.count(F.lit(1)).over(W.partitionBy())
-    return rows.withColumn("percentile", F.when(n > 1, F.round((F.row_number().over(order) - 1) / (n - 1), 6)).otherwise(F.lit(0.0)))
+    own = placed(rows, column, tie, name="__place")
+    n = F.col("__rows")
+    percentile = F.when(n > 1, F.round(F.col("__place") / (n - 1), 6)).otherwise(F.lit(0.0))
+    return own.join(F.broadcast(own.agg(F.count(F.lit(1)).alias("__rows")))).select(*rows.columns, percentile.alias("percentile"))
 
 
 def file_risk(nodes: DataFrame, churn: DataFrame) -> DataFrame:
@@ -121,8 +122,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 100) -> DataF
     ids = nodes.select("memory_id")
     n = ids.count()
     stride = max(1, n // max(1, min(n, samples)))
-    place = F.row_number().over(W.orderBy("memory_id")) - 1
-    sources = ids.withColumn("at", place).where(F.col("at") % stride == 0).orderBy("at").limit(min(n, samples)).select(F.col("memory_id").alias("s"))
+    sources = placed(ids, "memory_id", name="at").where(F.col("at") % stride == 0).orderBy("at").limit(min(n, samples)).select(F.col("memory_id").alias("s"))
     pairs = cut(edges.where(F.col("kind").isin(model.ADMISSION["structural"])).select(F.col("src").alias("v"), F.col("dst").alias("w")).distinct().where("v <> w"), "brandes")
     frontier = cut(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma"), F.lit(0).alias("d")), "brandes")
     levels = [frontier]

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph import model
 from loomgraph.functions import predicates as P
+from loomgraph.plans.checkpoint import cut
 
 
 def name_tiers(nodes: DataFrame, names: DataFrame) -> DataFrame:
@@ -30,36 +30,50 @@ def exact_and_suffix(nodes: DataFrame, names: DataFrame) -> DataFrame:
     return ends.join(names.select("query").distinct(), "query").select("query", "memory_id", F.least(F.col("skipped"), F.lit(1)).alias("tier"))
 
 
+def _best_tier(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, memory_id, at): the candidates of each name's best tier. The tier depends on the name alone, not on the request."""
+    found = exact_and_suffix(nodes, asked)
+    best = found.groupBy("query").agg(F.min("tier").alias("tier"))
+    at = nodes.select("memory_id", F.col("file_path").alias("at"))
+    return found.join(best, ["query", "tier"], "left_semi").join(at, "memory_id").select("query", "memory_id", "at")
+
+
+def _summed(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """Distinct requests (query, file, crate) with the number and the least id of candidates: all (n, any), in the file and in the crate.
+
+    Candidates are summed up by name, file and crate first: no row per request and candidate.
+    """
+    asked = requests.select("query", "file").distinct().withColumn("crate", P.crate_name("file"))
+    sums = lambda n, one: [F.count(F.lit(1)).alias(n), F.min("memory_id").alias(one)]
+    overall = found.groupBy("query").agg(*sums("n", "any"))
+    by_file = found.groupBy("query", F.col("at").alias("file")).agg(*sums("n_file", "in_file"))
+    by_crate = found.groupBy("query", P.crate_name("at").alias("crate")).agg(*sums("n_crate", "in_crate"))
+    out = asked.join(overall, "query", "left").join(by_file, ["query", "file"], "left").join(by_crate, ["query", "crate"], "left")
+    return out.na.fill(0, ["n", "n_file", "n_crate"])
+
+
 def resolve_unique(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """O-46: (query, status, memory_id, candidates) for requests (query, file).
 
     The best non-empty tier counts. One candidate is unique; else the only one in the request's file, or, when none is in
-    that file, the only one in its crate; else the answer is ambiguous, or not_found.
+    that file, the only one in its crate; else the answer is ambiguous, or not_found. Candidates are gathered once per name,
+    for names with an ambiguous request only. Repeated requests are one.
     """
-    at = nodes.select(F.col("memory_id").alias("id"), F.col("file_path").alias("at"))
-    found = exact_and_suffix(nodes, requests).join(at, F.col("memory_id") == F.col("id"))
-    joined = requests.join(found.drop("id"), "query", "left").withColumn("best", F.min("tier").over(W.partitionBy("query", "file"))).where("tier is null or tier = best")
-    same = F.col("at") == F.col("file")
-    crate = P.crate_name("at").eqNullSafe(P.crate_name("file")) & P.crate_name("file").isNotNull()
-    only = lambda cond: F.min(F.when(cond, F.col("memory_id")))
-    counted = joined.groupBy("query", "file").agg(
-        F.count("memory_id").alias("n"), F.count_if(same).alias("n_file"), F.count_if(crate).alias("n_crate"),
-        F.min("memory_id").alias("any"), only(same).alias("in_file"), only(crate).alias("in_crate"), F.sort_array(F.collect_list("memory_id")).alias("all"),
-    )
+    found = cut(_best_tier(nodes, requests), "candidates")
+    counted = _summed(found, requests)
     pick = F.when(F.col("n") == 1, F.col("any")).when(F.col("n_file") == 1, F.col("in_file")).when((F.col("n_file") == 0) & (F.col("n_crate") == 1), F.col("in_crate"))
     status = F.when(F.col("n") == 0, F.lit("not_found")).when(pick.isNotNull(), F.lit("unique")).otherwise(F.lit("ambiguous"))
-    return counted.select("query", "file", status.alias("status"), pick.alias("memory_id"), F.when(status == "ambiguous", F.col("all")).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    answered = counted.select("query", "file", status.alias("status"), pick.alias("memory_id"))
+    unsure = answered.where("status = 'ambiguous'").select("query").distinct()
+    listed = found.join(unsure, "query", "left_semi").groupBy("query").agg(F.sort_array(F.collect_list("memory_id")).alias("all"))
+    return answered.join(listed, "query", "left").select("query", "file", "status", "memory_id", F.when(F.col("status") == "ambiguous", F.col("all")).otherwise(F.array().cast("array<string>")).alias("candidates"))
 
 
 def resolve_in_file(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """O-47: (query, file, status, memory_id): unique if exactly one candidate of the best tier lies in the file, wrong_file if none or several do, not_found without any."""
-    at = nodes.select(F.col("memory_id").alias("id"), F.col("file_path").alias("at"))
-    found = exact_and_suffix(nodes, requests).join(at, F.col("memory_id") == F.col("id"))
-    joined = requests.join(found.drop("id"), "query", "left").withColumn("best", F.min("tier").over(W.partitionBy("query", "file"))).where("tier is null or tier = best")
-    same = F.col("at") == F.col("file")
-    out = joined.groupBy("query", "file").agg(F.count("memory_id").alias("n"), F.count_if(same).alias("m"), F.min(F.when(same, F.col("memory_id"))).alias("one"))
-    status = F.when(F.col("n") == 0, F.lit("not_found_in_file")).when(F.col("m") == 1, F.lit("unique")).otherwise(F.lit("wrong_file"))
-    return out.select("query", "file", status.alias("status"), F.when(F.col("m") == 1, F.col("one")).alias("memory_id"))
+    out = _summed(_best_tier(nodes, requests), requests)
+    status = F.when(F.col("n") == 0, F.lit("not_found_in_file")).when(F.col("n_file") == 1, F.lit("unique")).otherwise(F.lit("wrong_file"))
+    return out.select("query", "file", status.alias("status"), F.when(F.col("n_file") == 1, F.col("in_file")).alias("memory_id"))
 
 
 def resolve_with_locality(nodes: DataFrame, relations: DataFrame) -> DataFrame:

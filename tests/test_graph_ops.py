@@ -17,7 +17,7 @@ from loomgraph.errors import SymbolAmbiguous, SymbolNotFound
 from loomgraph.functions import predicates as P
 from loomgraph.functions import source_text as S
 from loomgraph.operators import build, changes, classify, enrich, evidence, grep, rollup, search
-from loomgraph.plans import walk
+from loomgraph.plans import checkpoint, walk
 from loomgraph.queries import base
 from loomgraph.verbs import RECEIPTS, Graph
 
@@ -129,6 +129,28 @@ def test_walk_handles_cycles_terminals_targets_and_confinement(spark):
     assert one(target=spark.createDataFrame([("a", "b")], "root string, node string")) == {"a": 0, "b": 1}
 
 
+def test_deep_walks_compact_what_they_saw(spark, monkeypatch):
+    monkeypatch.setattr(walk, "_COMPACT", 2)
+    pairs = spark.createDataFrame([(str(i), str(i + 1)) for i in range(6)] + [("6", "2"), (None, "1"), ("1", None)], "from string, to string")
+    got = {(r.root, r.node): r.depth for r in walk.walk(pairs, roots(spark, "0", "4")).collect()}
+    assert got == {("0", str(i)): i for i in range(7)} | {("4", n): d for n, d in (("4", 0), ("5", 1), ("6", 2), ("2", 3), ("3", 4))}
+
+
+def test_only_tests_step_into_test_modules(spark):
+    n, e = frames(spark, [node("a"), node("b"), node("m", "module", name="tests", is_test_only=True), node("c"), node("t")], [edge("a", "b"), edge("a", "m"), edge("m", "c"), edge("t", "m")])
+    own = spark.createDataFrame([("production", "a"), ("test", "t"), ("other", "c")], "role string, node string")
+    got = {r.node: r.rank for r in classify.reach_sets(n, e, own).collect()}
+    production, test = (dict.fromkeys(walk.reach(walk.steps(e, spec, n), own.where(f"role = '{role}'")).toPandas()["node"]) for spec, role in ((walk.CLASSIFIER_CALLS, "production"), (walk.without_tests(walk.CLASSIFIER_CALLS), "test")))
+    assert got == dict.fromkeys(test, 3) | dict.fromkeys(production, 0) and got["c"] == 3
+
+
+def test_places_in_order(spark):
+    rows = spark.createDataFrame([(i * 7919 % 1000 // 3, i) for i in range(1000)] + [(None, 1000)], "v long, k long").repartition(7)
+    got = {r.k: (r.place, r.v) for r in checkpoint.placed(rows, "v", "k").collect()}
+    want = sorted(got, key=lambda k: (got[k][1] is not None, got[k][1] or 0, k))
+    assert [got[k][0] for k in want] == list(range(1001)) and checkpoint.placed(rows.limit(0), "v", "k").count() == 0
+
+
 def test_impact_paths_prefer_the_least_parent(spark):
     nodes, edges = frames(spark, [node(x, path=p) for x, p in (("t", "z"), ("p2", "b"), ("p1", "a"), ("d", "c"), ("far", "e"))], [edge("p1", "t", "references"), edge("p2", "t", "extends"), edge("d", "p1", "type_of"), edge("d", "p2", "references"), edge("d", "t", "calls"), edge("far", "d", "references")])
     found, beyond = walk.impact(edges, nodes, roots(spark, "t"), 2)
@@ -205,6 +227,9 @@ def test_names_with_homonyms(spark):
     asked = spark.createDataFrame([("run", "crates/x/src/a.rs"), ("go", "crates/x/src/a.rs"), ("go", "crates/z/src/other.rs"), ("go", "nowhere.rs"), ("nope", "f")], "query string, file string")
     got = {(r.query, r.file): (r.status, r.memory_id) for r in search.resolve_unique(n, asked).collect()}
     assert got == {("run", "crates/x/src/a.rs"): ("unique", "3"), ("go", "crates/x/src/a.rs"): ("unique", "4"), ("go", "crates/z/src/other.rs"): ("unique", "6"), ("go", "nowhere.rs"): ("ambiguous", None), ("nope", "f"): ("not_found", None)}
+    assert {(r.query, r.file): (r.status, r.memory_id) for r in search.resolve_unique(n, asked.union(asked)).collect()} == got
+    inside = {(r.query, r.file): (r.status, r.memory_id) for r in search.resolve_in_file(n, asked.union(asked)).collect()}
+    assert inside == {("run", "crates/x/src/a.rs"): ("wrong_file", None), ("go", "crates/x/src/a.rs"): ("unique", "4"), ("go", "crates/z/src/other.rs"): ("wrong_file", None), ("go", "nowhere.rs"): ("wrong_file", None), ("nope", "f"): ("not_found_in_file", None)}
     g = Graph(spark, {"nodes": n, "edges": spark.createDataFrame([], "src string, dst string, kind string")})
     with pytest.raises(SymbolAmbiguous) as e:
         g.resolve("go")
