@@ -6,7 +6,7 @@ import importlib
 
 from loomgraph.queries import base
 
-for _name in ("predicates", "search", "rollup", "classes", "text", "evidence", "verbs"):
+for _name in ("predicates", "search", "rollup", "classes", "text", "evidence", "verbs", "coverage"):
     importlib.import_module(f"loomgraph.queries.{_name}")
 
 

@@ -69,17 +69,18 @@ def inventory_coverage(issues: DataFrame, languages: DataFrame) -> DataFrame:
     return named.join(F.broadcast(any_all)).select("language", F.when(F.col("l").isNotNull() | F.col("everywhere"), F.lit("partial")).otherwise(F.lit("complete")).alias("coverage"))
 
 
-def classification_failures(state: dict) -> list[str]:
-    """O-134: why a stored classification is not current, in fixed order; empty if it is."""
+def classification_failures(states: DataFrame) -> DataFrame:
+    """O-134: states (authority, stamp, graph_identity, prover, expected_prover, freshness) with ``failures``: why a stored classification is not current, in fixed order; empty if it is."""
+    both = F.col("stamp").isNotNull() & F.col("graph_identity").isNotNull()
     checks = [
-        ("authority_missing", not state.get("authority")),
-        ("stamp_absent", state.get("stamp") is None),
-        ("identity_unavailable", state.get("graph_identity") is None),
-        ("identity_mismatch", state.get("stamp") is not None and state.get("graph_identity") is not None and state["stamp"] != state["graph_identity"]),
-        ("configuration_mismatch", state.get("prover") != state.get("expected_prover")),
-        ("index_stale", state.get("freshness") != "fresh"),
+        ("authority_missing", ~F.coalesce("authority", F.lit(False))),
+        ("stamp_absent", F.col("stamp").isNull()),
+        ("identity_unavailable", F.col("graph_identity").isNull()),
+        ("identity_mismatch", both & (F.col("stamp") != F.col("graph_identity"))),
+        ("configuration_mismatch", ~F.col("prover").eqNullSafe(F.col("expected_prover"))),
+        ("index_stale", ~F.col("freshness").eqNullSafe(F.lit("fresh"))),
     ]
-    return [name for name, failed in checks if failed]
+    return states.withColumn("failures", F.array_compact(F.array(*[F.when(failed, F.lit(name)) for name, failed in checks])))
 
 
 def status_verdict(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import predicates as P
@@ -71,6 +72,8 @@ class Schedule:
     manual: int | None = None
     watching: bool = False
     done: list[int] = field(default_factory=list)
+    #: Held while a stream drives the schedule, as hints and reconciliations come from different threads.
+    lock: threading.RLock = field(default_factory=threading.RLock, repr=False, compare=False)
 
     def _id(self) -> int:
         self.next_id += 1
@@ -125,19 +128,31 @@ class Schedule:
         return self._next()
 
 
+def _drive(schedule: Schedule, run: Callable[[int, str, int], str], supersede: bool) -> Callable[[DataFrame, int], None]:
+    def step(df: DataFrame, _: int) -> None:
+        if not df.take(1):
+            return
+        with schedule.lock:
+            actions = schedule.change(supersede)
+            while actions:
+                kind, *rest = actions[0]
+                actions = schedule.finish(rest[0], run(*rest)) if kind == "start" else actions[1:]
+
+    return step
+
+
 def scheduled(batches: DataFrame, schedule: Schedule, run: Callable[[int, str, int], str], checkpoint: str, trigger: str = "1 second"):
     """S-5, S-6: drive a schedule from a stream of debounced batches: each micro-batch with rows is one change; the trigger is the probe.
 
     ``run`` (id, trigger, epoch) indexes and returns published, failed or cancelled.
     """
+    return batches.writeStream.foreachBatch(_drive(schedule, run, True)).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
 
-    def step(df: DataFrame, _: int) -> None:
-        actions = schedule.change() if df.take(1) else []
-        while actions:
-            kind, *rest = actions[0]
-            actions = schedule.finish(rest[0], run(*rest)) if kind == "start" else actions[1:]
 
-    return batches.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+def reconciled(spark: SparkSession, schedule: Schedule, run: Callable[[int, str, int], str], checkpoint: str, every: str = "60 seconds"):
+    """S-6: a full check ``every`` so often, beside :func:`scheduled` on the same schedule: it finds what dropped hints missed and supersedes no run."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(_drive(schedule, run, False)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def refresh_plan(documents: DataFrame) -> DataFrame:

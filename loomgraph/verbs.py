@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.errors import InvalidRequest, SymbolAmbiguous, SymbolNotFound
 from loomgraph.functions import predicates as P
+from loomgraph.functions import source_text
 from loomgraph.operators import changes, classify, evidence, grep, paging, rollup, search
 from loomgraph.plans import walk
 from loomgraph.sources import files
@@ -179,14 +180,23 @@ class Graph:
         """Facets of a symbol: source, structure, callers, field usage and tests, each available, not_applicable or unavailable."""
         node = self.resolve(symbol)
         kind, out = node["kind"], {"symbol": node, "selector": self.selector(node["memory_id"])}
-        out["source"] = {"state": "available" if "contents" in self.tables else "unavailable"}
+        text = "contents" in self.tables
+        out["source"] = {"state": "available", "result": self.read(out["selector"])} if text else {"state": "unavailable"}
         is_type, is_code = kind in model.ROLES["type"], kind in model.ROLES["callable"]
-        out["structure"] = {"state": "available", "result": self.type(symbol, preview)} if is_type else {"state": "not_applicable"}
-        out["callers"] = {"state": "available", "result": self.calls(symbol, "all", preview)} if is_code else {"state": "not_applicable"}
-        out["tests"] = {"state": "available", "result": self.tests(symbol, preview)} if is_code else {"state": "not_applicable"}
-        out["field_usage"] = {"state": "available" if is_type and "contents" in self.tables else "not_applicable" if not is_type else "unavailable"}
+        out["structure"] = {"state": "available", "result": self.type(out["selector"], preview)} if is_type else {"state": "not_applicable"}
+        out["callers"] = {"state": "available", "result": self.calls(out["selector"], "all", preview)} if is_code else {"state": "not_applicable"}
+        out["tests"] = {"state": "available", "result": self.tests(out["selector"], preview)} if is_code else {"state": "not_applicable"}
+        out["field_usage"] = {"state": "not_applicable"} if not is_type else {"state": "available", "result": self._field_usage(node["memory_id"], preview)} if text else {"state": "unavailable"}
         return out
 
+    def _field_usage(self, type_id: str, preview: int) -> Result:
+        """Callables and properties whose lines use a field of the type."""
+        inside = self.edges.where((F.col("kind") == "contains") & (F.col("src") == type_id)).select(F.col("dst").alias("memory_id"))
+        fields = self.nodes.where("kind = 'field'").join(inside, "memory_id", "left_semi").select(P.short_name("symbol_name").alias("field")).distinct()
+        sources = files.slice_source(self.nodes.where(P.has_role("kind", "callable") | (F.col("kind") == "property")), self.tables["contents"]).where("source is not null")
+        lines = sources.select("memory_id", F.explode(F.split("source", "\n")).alias("line")).select("memory_id", source_text.blank_line_col("line").alias("line"))
+        return self._result("field_usage", grep.field_usage(lines, fields), ["memory_id", "field"], None, preview, 100, None, (type_id,))
+
     def dead(self, limit: int = 50, cursor: str | None = None) -> Result:
         """Candidates; a callable counts as unreached only when call evidence is complete, else it is unknown."""
         status, _ = self.authority("calls")

@@ -275,7 +275,8 @@ def test_receipts(spark):
     assert of("a") == ("complete", "a") and of("ab") == ("ambiguous", None) and of("ab", preferred="b") == ("complete", "b") and of("c") == ("unavailable", None)
     tie = spark.createDataFrame([*rows[:1], ("a", "2", "calls", "d", "go", "unit", "u1", "partial"), ("a", "1", "calls", "d", "go", "repository", None, "complete")], RECEIPTS)
     assert as_map(evidence.most_specific(tie, "calls", need, "a"), "unit", "outcome") == {"u1": "conflict", "u2": "resolved"}
-    assert evidence.classification_failures({"authority": True, "stamp": "x", "graph_identity": "y", "prover": 1, "expected_prover": 1, "freshness": "stale"}) == ["identity_mismatch", "index_stale"]
+    state = spark.createDataFrame([(True, "x", "y", 1, 1, "stale"), (None, None, None, None, 1, None), (True, "x", "x", 1, 1, "fresh")], "authority boolean, stamp string, graph_identity string, prover int, expected_prover int, freshness string")
+    assert [r.failures for r in evidence.classification_failures(state).collect()] == [["identity_mismatch", "index_stale"], ["authority_missing", "stamp_absent", "identity_unavailable", "configuration_mismatch", "index_stale"], []]
 
 
 def brandes(ids, pairs, sources):

@@ -6,13 +6,15 @@ import datetime as dt
 import json
 import subprocess
 import sys
+import time
 from pathlib import Path
 
 import pytest
 
+from loomgraph import indexing
 from loomgraph.errors import CapabilityDowngrade, CursorError, NoGeneration, ResultTooLarge
 from loomgraph.operators import build, clones, paging
-from loomgraph.sources import facts, files, python_extractor
+from loomgraph.sources import facts, files, python_extractor, scip
 from loomgraph.sources.bundle import HEADS, Bundle
 from loomgraph.streaming import watch
 from loomgraph.verbs import Graph
@@ -171,6 +173,42 @@ def test_stream_drives_the_schedule(spark, tmp_path):
     assert runs == [("watch", 1)] and schedule.published == 1
 
 
+def test_reconciliation_supersedes_nothing_and_runs_without_hints(spark, tmp_path):
+    schedule, runs = watch.Schedule(watching=True), []
+    q = watch.reconciled(spark, schedule, lambda *a: runs.append(a) or "published", str(tmp_path / "cp"), "1 second")
+    until = time.time() + 30
+    while len(runs) < 2 and time.time() < until:
+        time.sleep(0.2)
+    q.stop()
+    assert [r[1:] for r in runs[:2]] == [("watch", 1), ("watch", 2)] and schedule.published >= 2
+
+
+def test_index_publishes_and_reindex_reuses(spark, tree, tmp_path):
+    bundle = Bundle(spark, f"file://{tmp_path}/b")
+    source = files.read_tree(spark, tree)
+    first = indexing.reindex(source, bundle, ignored=["build/", "/vendor"])
+    g = Graph.open(spark, bundle.root)
+    assert g.generation == first and {"nodes", "edges", "files", "contents", "units", "memberships"} == set(g.tables)
+    assert {r.symbol_name for r in g.calls("greeting", "all").rows.collect()} >= {"greet", "test_greeting"} and g.read("greet").startswith("def greet()")
+    assert "unclassified" not in {r.reachability_class for r in g.nodes.collect()} and g.nodes.where("has_platform_cfg is null").count() == 0
+    assert indexing.reindex(source, bundle, ignored=["build/", "/vendor"]) == first
+    facets = g.inspect("Box")
+    assert facets["source"]["result"].startswith("class Box") and {(r.field, r.uses) for r in facets["field_usage"]["result"].rows.collect()} >= {("size", 1), ("lid", 1)}
+    second = indexing.reindex(source.where("path <> 'test_app.py'"), bundle, ignored=["build/", "/vendor"])
+    assert second != first and Graph.open(spark, bundle.root).nodes.where("file_path = 'test_app.py'").count() == 0 and g.nodes.where("file_path = 'test_app.py'").count() > 0
+
+
+def test_index_bytes(spark):
+    message = lambda n, body: bytes([n << 3 | 2, len(body)]) + body
+    four, other = message(2, message(1, b"\x01\x00\x05\x02") + message(2, b"s#")), message(2, b"\x08\x07\x08\x00\x08\x03" + message(2, b"u") + b"\x18\x09")
+    short, unknown = message(2, message(1, b"\x01") + message(2, b"bad")), b"\x4d\x00\x00\x00\x00"
+    body = message(2, message(1, b"a.rs") + four + other + short + unknown) + message(3, message(1, b"s#") + message(4, message(1, b"t#")))
+    assert scip.parse("i", body) == ([("i", "a.rs", 1, 5, "s#", False), ("i", "a.rs", 7, 7, "u", True)], [("i", "s#", "t#", False)])
+    assert scip.parse("i", body[:-1]) == ([], []) and scip.parse("i", b"") == ([], [])
+    rows = spark.createDataFrame([("i", bytearray(body)), ("j", None)], "path string, content binary")
+    assert scip.occurrences(rows).count() == 2 and scip.occurrences(rows.limit(0)).count() == 0
+
+
 def test_refresh_plans(spark):
     schema = "path string, before string, after string, surface_before string, surface_after string, inputs_changed boolean, identity_changed boolean"
     plan = lambda *rows: tuple(watch.refresh_plan(spark.createDataFrame(rows, schema)).head())
