@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.plans.checkpoint import placed
+
 
 def full_diff(before: DataFrame, after: DataFrame, keys: list[str], digest: str) -> DataFrame:
     """J-3, J-4, O-98, O-99: (keys, change) with change added, removed, modified or unchanged by a full outer join; null digests differ from all others but null."""
@@ -23,11 +25,14 @@ def verdict(changes: DataFrame, complete: bool) -> DataFrame:
     return counts.withColumn("verdict", F.when(total > 0, F.lit("differences")).otherwise(F.lit("none" if complete else "unknown")))
 
 
-def bounded(changes: DataFrame, limit: int, file: str = "file_path", name: str = "symbol_name") -> DataFrame:
-    """O-95: the first ``limit`` changes: files in path order, in each added, removed, modified, then by name; ``row_no`` counts from 1."""
+def bounded(changes: DataFrame, limit: int | None, file: str = "file_path", name: str = "symbol_name") -> DataFrame:
+    """O-95: the first ``limit`` changes, or all: files in path order, in each added, removed, modified, then by name and the other columns; ``row_no`` counts from 1."""
     place = F.when(F.col("change") == "added", 0).when(F.col("change") == "removed", 1).otherwise(2)
-    rows = changes.where("change <> 'unchanged'").orderBy(file, place, name).limit(limit)
-    return rows.withColumn("row_no", F.row_number().over(W.orderBy(file, place, name)))
+    rows = changes.where("change <> 'unchanged'").withColumn("__kind", place)
+    order = [file, "__kind", name, *[c for c in changes.columns if c not in (file, name, "change")]]
+    if limit is None:
+        return placed(rows, *order, name="__row").select(*changes.columns, (F.col("__row") + 1).cast("int").alias("row_no"))
+    return rows.orderBy(*order).limit(limit).withColumn("row_no", F.row_number().over(W.orderBy(*order))).drop("__kind")
 
 
 def live_state(live: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ query("v_dead_without_evidence", over("nodes") + "SELECT count(*) AS unreached F
     lambda t: t.spark.createDataFrame([(_graph(t, False).dead().evidence["summary"]["unreached"],)], "unreached long")
 )
 query("v_diff", over("nodes") + "SELECT memory_id, 'removed' AS change, row_number() OVER (ORDER BY file_path, symbol_name)::INT AS row_no FROM nodes WHERE kind = 'struct' AND k % 10 = 0")(
-    lambda t: (lambda n: Graph(t.spark, {"nodes": n, "edges": t.edges}).diff(n.where("k % 10 <> 0")).rows.select("memory_id", "change", "row_no"))(t.nodes.where("kind = 'struct'").withColumn("content_hash", F.md5("signature")))
+    lambda t: (lambda n: Graph(t.spark, {"nodes": n, "edges": t.edges}).diff(n.where("k % 10 <> 0"), None).rows.select("memory_id", "change", "row_no"))(t.nodes.where("kind = 'struct'").withColumn("content_hash", F.md5("signature")))
 )
 query("v_stats", over("nodes", "edges") + "SELECT 'nodes' AS metric, count(*) AS n FROM nodes UNION ALL SELECT 'edges', count(*) FROM edges UNION ALL SELECT 'kind:' || kind, count(*) FROM edges GROUP BY kind")(lambda t: _graph(t).stats())
 query(

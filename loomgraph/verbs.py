@@ -225,8 +225,8 @@ class Graph:
         found = grep.grep(text, pattern, context, overall=limit)
         return Result("grep_context", self.generation, grep.containing(found, self.nodes), "complete", {"pattern": pattern})
 
-    def diff(self, fresh: DataFrame, limit: int = 50) -> Result:
-        """This generation's symbols against freshly extracted ones (memory_id, symbol_name, file_path, content_hash)."""
+    def diff(self, fresh: DataFrame, limit: int | None = 50) -> Result:
+        """This generation's symbols against freshly extracted ones (memory_id, symbol_name, file_path, content_hash); without a limit all changes."""
         keys = ["memory_id", "symbol_name", "file_path"]
         found = changes.full_diff(self.nodes, fresh, keys, "content_hash")
         facts = changes.verdict(found, True).head().asDict()

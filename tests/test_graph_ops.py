@@ -369,3 +369,13 @@ def test_whole_graph_queries_match_brute_force(spark, monkeypatch):
         seen |= front
         out += [(b, round(0.7 * 0.5**depth, 6), depth) for b in sorted(front)]
     assert [(r.node, r.score, r.depth) for r in run("o62_seed_expansion_whole").collect()] == out[:20] and out[min(len(out), 20) - 1][2] > 1
+
+
+def test_diff_query_gives_all_changes_in_total_order(spark, monkeypatch):
+    rows = [(f"s{k}", "struct", f"n::{k % 7}", f"f{k % 3}", k, "x") for k in range(700)]
+    nodes = spark.createDataFrame(rows, "memory_id string, kind string, symbol_name string, file_path string, k long, signature string")
+    monkeypatch.setattr(base, "Tables", lambda spark, _: SimpleNamespace(spark=spark, nodes=nodes, edges=nodes))
+    want = sorted((f, n, i) for i, _, n, f, k, _ in rows if k % 10 == 0)
+    assert [(r.memory_id, r.row_no) for r in catalog.queries()["v_diff"](spark, "").orderBy("row_no").collect()] == [(i, at + 1) for at, (_, _, i) in enumerate(want)]
+    found = changes.full_diff(nodes, nodes.where("k % 10 <> 0"), ["memory_id", "symbol_name", "file_path"], "k")
+    assert [(r.memory_id, r.row_no) for r in changes.bounded(found, 5).orderBy("row_no").collect()] == [(i, at + 1) for at, (_, _, i) in enumerate(want[:5])]
