@@ -327,13 +327,12 @@ def suppress(actions: DataFrame, nodes: DataFrame, tier: str, suppressed: list[s
 def apply_oracle(nodes: DataFrame, diagnostics: DataFrame, good: bool) -> DataFrame:
     """O-123, J-11: nodes with the compiler's flag set where a diagnostic (file_name, line from 1, subject) names exactly one symbol on its line.
 
-    A good run replaces all flags; a degraded one keeps those that are set.
+    A good run replaces all flags; a degraded one keeps those that are set. Symbols are counted by line before they meet
+    diagnostics, so a line with many of both costs no pairs.
     """
-    at = diagnostics.select("file_name", (F.col("line") - 1).alias("line0"), "subject", F.monotonically_increasing_id().alias("d"))
-    hits = at.join(nodes.select("memory_id", "file_path", "line_start", "symbol_name"), (F.col("file_name") == F.col("file_path")) & (F.col("line0") == F.col("line_start")))
-    from pyspark.sql import Window
-
-    sole = hits.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("d"))).where("n = 1").where(F.col("subject").isNull() | (F.col("subject") == P.short_name("symbol_name")))
-    flagged = sole.select(F.col("memory_id").alias("flagged")).distinct()
+    sole = nodes.groupBy("file_path", "line_start").agg(F.count(F.lit(1)).alias("n"), F.first("memory_id").alias("flagged"), F.first("symbol_name").alias("name")).where("n = 1")
+    at = diagnostics.select(F.col("file_name").alias("file_path"), (F.col("line") - 1).alias("line_start"), "subject").distinct()
+    named = at.join(sole, ["file_path", "line_start"]).where(F.col("subject").isNull() | (F.col("subject") == P.short_name("name")))
+    flagged = named.select("flagged").distinct()
     mark = F.col("flagged").isNotNull() | (F.lit(not good) & F.col("rustc_flagged_dead"))
     return nodes.join(flagged, F.col("memory_id") == F.col("flagged"), "left").withColumn("rustc_flagged_dead", mark).drop("flagged")

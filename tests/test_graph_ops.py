@@ -379,3 +379,13 @@ def test_diff_query_gives_all_changes_in_total_order(spark, monkeypatch):
     assert [(r.memory_id, r.row_no) for r in catalog.queries()["v_diff"](spark, "").orderBy("row_no").collect()] == [(i, at + 1) for at, (_, _, i) in enumerate(want)]
     found = changes.full_diff(nodes, nodes.where("k % 10 <> 0"), ["memory_id", "symbol_name", "file_path"], "k")
     assert [(r.memory_id, r.row_no) for r in changes.bounded(found, 5).orderBy("row_no").collect()] == [(i, at + 1) for at, (_, _, i) in enumerate(want[:5])]
+
+
+def test_diagnostics_on_a_crowded_line_meet_no_pairs(spark):
+    nodes, _ = frames(spark, [node(f"a{i}", name=f"m::a{i}") for i in range(300)] + [node("b", name="m::b", path="b.rs"), node("c", name="m::c", path="c.rs"), node("d", name="m::d", path="d.rs", rustc_flagged_dead=True)], [])
+    said = [("crates/app/src/a.rs", 1, f"a{i}") for i in range(300)] + [("b.rs", 1, "b"), ("b.rs", 1, None), ("c.rs", 1, "other"), ("c.rs", 2, "c")]
+    got = {good: classify.apply_oracle(nodes, spark.createDataFrame(said, "file_name string, line int, subject string"), good) for good in (True, False)}
+    assert [{r.memory_id for r in got[g].where("rustc_flagged_dead").collect()} for g in (True, False)] == [{"b"}, {"b", "d"}]
+    assert got[True].count() == 303
+    # Symbols are counted by line before any join; a window over joined rows would hold 90,000 pairs here.
+    assert "Window" not in got[True]._jdf.queryExecution().optimizedPlan().toString()
