@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.functions import predicates as P
 from loomgraph.plans import walk as W
-from loomgraph.plans.checkpoint import cut
+from loomgraph.plans.checkpoint import cut, discard
 
 R = model.RANK
 
@@ -75,14 +75,42 @@ def roots(nodes: DataFrame, entries: DataFrame) -> DataFrame:
 def reach_sets(nodes: DataFrame, edges: DataFrame, root_rows: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """O-61, O-96: (node, rank) by set algebra: production reach is wired, what only the public API reaches is public_api, what only tests reach is test_only."""
     rank = F.when(F.col("role") == "production", R["wired"]).when(F.col("role") == "public_api", R["public_api"]).when(F.col("role") == "test", R["test_only"])
-    return _closures(W.marked_steps(edges, W.CLASSIFIER_CALLS, nodes), root_rows.select(rank.alias("root"), "node").where("root is not null"), population)
+    return _closures(W.packed_steps(edges, W.CLASSIFIER_CALLS), _test_modules(nodes), root_rows.select(rank.alias("root"), "node").where("root is not null"), population)
 
 
-def _closures(pairs: DataFrame, roots: DataFrame, population: DataFrame | None) -> DataFrame:
-    """(node, rank): the least rank whose roots (root: a rank, node) reach a node; all ranks walk at once, and only tests step into test modules."""
-    start = roots.distinct() if population is None else roots.distinct().join(population.select("node"), "node", "left_semi").select("root", "node")
-    found = W.walk(pairs, start, within=population, taken=~F.col("test") | (F.col("root") == R["test_only"]))
-    return found.groupBy("node").agg(F.min("root").alias("rank"))
+def _test_modules(nodes: DataFrame) -> DataFrame:
+    return cut(nodes.where(P.is_test_module("is_test_only", "kind", "symbol_name")).select("memory_id").distinct().select(F.col("memory_id").alias("t")), "tests")
+
+
+def _closures(lists: DataFrame, tests: DataFrame, roots: DataFrame, population: DataFrame | None) -> DataFrame:
+    """(node, rank): the least rank whose roots (root: a rank, node) reach a node over ``lists`` (:func:`W.packed_steps`); only tests step from or into test modules (``tests``: t).
+
+    All ranks walk at once: a node's ranks are bits, ``new`` those that came in the last round. A round joins the nodes with
+    new bits to their steps, sums the bits by far end and writes the state. Ranks but test_only have the same steps, so the
+    least of them stands for all.
+    """
+    test = 1 << R["test_only"]
+    least = lambda bits: bits.bitwiseAND(test).bitwiseOR(bits.bitwiseAND(test - 1).bitwiseAND(-bits.bitwiseAND(test - 1)))
+    marked = lambda df: df.join(tests, F.col("node") == F.col("t"), "left").select("node", F.col("t").isNotNull().alias("test"), "got")
+    own = roots.where("node is not null").groupBy("node").agg(F.bit_or(F.expr("shiftleft(1, root)")).alias("got"))
+    if population is not None:
+        own = own.join(population.select("node"), "node", "left_semi")
+    now = cut(marked(own).select("node", "test", least(F.col("got")).alias("bits"), least(F.col("got")).alias("new")), "reach")
+    ahead = F.when(F.col("test"), F.col("new").bitwiseAND(test)).otherwise(F.col("new"))
+    while True:
+        front = now.select(F.col("node").alias("from"), ahead.alias("ahead")).where("ahead <> 0")
+        if not front.take(1):
+            break
+        found = front.join(lists, "from").select(F.explode("to").alias("node"), "ahead").groupBy("node").agg(F.bit_or("ahead").alias("got"))
+        if population is not None:
+            found = found.join(population.select("node"), "node", "left_semi")
+        found = marked(found).select("node", F.col("test").alias("far"), F.when(F.col("test"), F.col("got").bitwiseAND(test)).otherwise(F.col("got")).alias("got")).where("got <> 0")
+        both = now.select("node", "test", "bits").join(found, "node", "full").select("node", F.coalesce("test", "far").alias("test"), F.coalesce("bits", F.lit(0)).alias("bits"), F.coalesce("got", F.lit(0)).alias("got"))
+        after = least(F.col("bits").bitwiseOR(F.col("got")))
+        last, now = now, cut(both.select("node", "test", after.alias("bits"), after.bitwiseAND(F.bitwise_not("bits")).alias("new")), "reach")
+        discard(last)
+    rank = F.coalesce(*[F.when(F.col("bits").bitwiseAND(1 << r) != 0, F.lit(r)) for r in range(R["test_only"] + 1)])
+    return now.select("node", rank.alias("rank"))
 
 
 def _ranked(state: DataFrame, id_name: str, rank_name: str) -> DataFrame:
@@ -110,9 +138,10 @@ def field_parents(nodes: DataFrame, state: DataFrame) -> DataFrame:
 
 def real_callers(edges: DataFrame, reached: DataFrame, asked: DataFrame, population: DataFrame) -> DataFrame:
     """O-112: nodes of ``asked`` with a calls or references edge from the classified population, or a call-class edge from another reached node."""
-    own = edges.join(asked.select(F.col("node").alias("dst")), "dst", "left_semi").where("src <> dst")
+    asked = cut(asked.select(F.col("node").alias("dst")), "asked")
+    own = cut(edges.where(P.admits("call", "kind")).where("src <> dst").select("src", "dst", "kind").join(asked, "dst", "left_semi"), "callers")
     direct = own.where(F.col("kind").isin("calls", "references")).join(population.select(F.col("node").alias("src")), "src", "left_semi")
-    near = own.where(P.admits("call", "kind")).join(reached.select(F.col("node").alias("src")), "src", "left_semi")
+    near = own.join(reached.select(F.col("node").alias("src")), "src", "left_semi")
     return direct.select(F.col("dst").alias("node")).union(near.select(F.col("dst").alias("node"))).distinct()
 
 
@@ -144,14 +173,15 @@ def guard_tiers(nodes: DataFrame, edges: DataFrame, state: DataFrame) -> DataFra
 
 def guard_rescue(nodes: DataFrame, edges: DataFrame, state: DataFrame, population: DataFrame | None = None) -> DataFrame:
     """Pass 8: rescued callables seed their tier's closure again; dead and rescued nodes take better tiers until nothing changes."""
-    pairs = None
+    lists = tests = None
     now = cut(state.select("node", "rank", F.lit(False).alias("folded")), "rescue")
     while True:
         found = cut(guard_tiers(nodes, edges, now), "rescue")
         if not found.take(1):
             return now.select("node", "rank")
-        pairs = pairs if pairs is not None else cut(W.marked_steps(edges, W.CLASSIFIER_CALLS, nodes), "steps")
-        spread = _closures(pairs, found.select(F.col("tier").alias("root"), "node"), population).select("node", F.col("rank").alias("tier"))
+        if lists is None:
+            lists, tests = W.packed_steps(edges, W.CLASSIFIER_CALLS), _test_modules(nodes)
+        spread = _closures(lists, tests, found.select(F.col("tier").alias("root"), "node"), population).select("node", F.col("rank").alias("tier"))
         best = found.select("node", "tier").union(spread).groupBy("node").agg(F.min("tier").alias("tier"))
         better = ((F.col("rank") == R["dead"]) | F.col("folded")) & (F.col("tier") < F.col("rank"))
         now = cut(now.join(best, "node", "left").select("node", F.when(better, F.col("tier")).otherwise(F.col("rank")).alias("rank"), (F.col("folded") | F.coalesce(better, F.lit(False))).alias("folded")), "rescue")
@@ -199,7 +229,9 @@ def classify(nodes: DataFrame, edges: DataFrame, root_rows: DataFrame, populatio
     ``population`` (node) are the nodes that are classified at all; others are unclassified. ``excluded`` is a condition on
     nodes that the census leaves out (default: O-115).
     """
-    nodes, edges, root_rows = cut(nodes, "nodes"), cut(edges, "edges"), cut(root_rows, "roots")  # read many times below
+    # Read many times below; no pass reads edges of other kinds.
+    edges = edges.where(F.col("kind").isin(*model.ADMISSION["call"], "contains", "implements")).select("src", "dst", "kind")
+    nodes, edges, root_rows = cut(nodes, "nodes"), cut(edges, "edges"), cut(root_rows, "roots")
     everyone = nodes.select(F.col("memory_id").alias("node"))
     people = everyone if population is None else everyone.join(population, "node", "left_semi")
     reached = cut(reach_sets(nodes, edges, root_rows, None if population is None else people), "reached")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import model
@@ -19,6 +19,9 @@ from loomgraph.plans.checkpoint import cut, discard, is_cut
 #: After so many rounds the visited set is written as one table, so that plans of deep walks do not grow.
 _COMPACT = 8
 
+#: Steps in a list of :func:`packed_steps`, about.
+_LIST = 10_000
+
 
 @dataclass(frozen=True)
 class WalkSpec:
@@ -56,28 +59,32 @@ def steps(edges: DataFrame, spec: WalkSpec, nodes: DataFrame | None = None) -> D
     return pairs
 
 
-def marked_steps(edges: DataFrame, spec: WalkSpec, nodes: DataFrame) -> DataFrame:
-    """(from, to, test): all steps of a walk that keeps test modules; ``test`` marks those that one without them may not take."""
-    pairs = steps(edges, without_tests(spec)).where("from is not null and to is not null")
-    tests = nodes.where(P.is_test_module("is_test_only", "kind", "symbol_name")).select(F.col("memory_id").alias("t")).distinct()
-    for end in ("from", "to"):
-        pairs = pairs.join(tests.withColumnRenamed("t", f"t_{end}"), F.col(end) == F.col(f"t_{end}"), "left")
-    return pairs.select("from", "to", (F.col("t_from").isNotNull() | F.col("t_to").isNotNull()).alias("test"))
+def packed_steps(edges: DataFrame, spec: WalkSpec) -> DataFrame:
+    """(from, to: a list), written: a node's steps in lists, which rounds join at a fraction of the rows; test modules are kept.
+
+    Nodes with more than ``_LIST`` steps have several lists, dealt by the far end, so a hot node stays splittable.
+    """
+    a, b = ("src", "dst") if spec.direction == "out" else ("dst", "src")
+    pairs = edges.where(F.col("kind").isin(list(spec.kinds))).select(F.col(a).alias("from"), F.col(b).alias("to")).where("from is not null and to is not null")
+    hot = cut(pairs.groupBy("from").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _LIST), "hot")
+    part = F.coalesce(F.pmod(F.xxhash64("to"), F.ceil(F.col("n") / _LIST)), F.lit(0))
+    lists = cut(pairs.join(hot, "from", "left").groupBy("from", part.alias("part")).agg(F.collect_list("to").alias("to")).select("from", "to"), "steps")
+    discard(hot)
+    return lists
 
 
 def walk(
-    pairs: DataFrame, roots: DataFrame, max_depth: int | None = None, within: DataFrame | None = None, stop_at: DataFrame | None = None, target: DataFrame | None = None, taken: Column | None = None
+    pairs: DataFrame, roots: DataFrame, max_depth: int | None = None, within: DataFrame | None = None, stop_at: DataFrame | None = None, target: DataFrame | None = None
 ) -> DataFrame:
     """O-50: breadth-first reach of every root: (root, node, depth), roots at depth 0, each pair once with its least depth.
 
     ``pairs`` is (from, to); ``roots`` has a column ``root`` or (root, node). Nodes at ``max_depth`` are reached but not
     expanded. ``within`` (node) confines the walk, roots aside; nodes of ``stop_at`` (node) are reached but not left; a walk
-    ends early once every row of ``target`` (root, node) is reached. ``taken`` is a condition on root and on columns of
-    ``pairs`` under which a step is taken. Null ends are ignored; self-loops and cycles end.
+    ends early once every row of ``target`` (root, node) is reached. Null ends are ignored; self-loops and cycles end.
     """
     start = roots if "node" in roots.columns else roots.select("root", F.col("root").alias("node"))
     known = pairs.where("from is not null and to is not null")
-    edges = known if is_cut(pairs) else cut(known if taken is not None else known.select("from", "to"), "steps")
+    edges = known if is_cut(pairs) else cut(known.select("from", "to"), "steps")
     frontier = cut(start.where("node is not null").select("root", "node").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen, parts, depth = frontier, [frontier], 0
     while max_depth is None or depth < max_depth:
@@ -85,7 +92,7 @@ def walk(
             break
         ahead = frontier if stop_at is None else frontier.join(stop_at, "node", "left_anti")
         hop = ahead.select("root", F.col("node").alias("from")).join(edges, "from")
-        found = (hop if taken is None else hop.where(taken)).select("root", F.col("to").alias("node")).distinct()
+        found = hop.select("root", F.col("to").alias("node")).distinct()
         if within is not None:
             found = found.join(within, "node", "left_semi")
         fresh = found.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node")

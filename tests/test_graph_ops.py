@@ -389,3 +389,33 @@ def test_diagnostics_on_a_crowded_line_meet_no_pairs(spark):
     assert got[True].count() == 303
     # Symbols are counted by line before any join; a window over joined rows would hold 90,000 pairs here.
     assert "Window" not in got[True]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reach_of_ranks_over_lists_of_steps(spark, monkeypatch):
+    monkeypatch.setattr(walk, "_LIST", 3)
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(40)]
+    tests = set(ids[::5])
+    pairs = {("n1", i) for i in ids[2:]} | {(rng.choice(ids), rng.choice(ids)) for _ in range(60)} | {("n7", "outside"), ("outside", "n9"), ("a1", "a2"), ("a2", "n1")}
+    n, e = frames(spark, [node(i, is_test_only=i in tests) for i in [*ids, "a1", "a2"]], [edge(a, b, rng.choice(["calls", "type_of"])) for a, b in sorted(pairs)] + [edge("n3", "n8", "related_to")])
+    starts = [("production", "n1"), ("production", "n5"), ("public_api", "n2"), ("public_api", "a1"), ("test", "n10"), ("test", "n11"), ("other", "n13")]
+    best = {}
+    for rank, role in ((3, "test"), (1, "public_api"), (0, "production")):
+        seen = ahead = {i for r, i in starts if r == role}
+        while ahead:
+            ahead = {b for a, b in pairs if a in ahead and (rank == 3 or not {a, b} & tests)} - seen
+            seen = seen | ahead
+        best |= dict.fromkeys(seen, rank)
+    got = classify.reach_sets(n, e, spark.createDataFrame(starts, "role string, node string"))
+    assert as_map(got, "node", "rank") == best and set(best.values()) == {0, 1, 3}
+    lists = walk.packed_steps(e, walk.CLASSIFIER_CALLS)
+    assert lists.where("from = 'n1'").count() > 1 and sorted((r["from"], x) for r in lists.collect() for x in r.to) == sorted(pairs)
+
+
+def test_classification_writes_no_edges_that_no_pass_reads(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(classify, "cut", lambda df, label: written.setdefault(label, checkpoint.cut(df, label)) if label == "edges" else checkpoint.cut(df, label))
+    n, e = frames(spark, [node("a"), node("b")], [edge("a", "b"), *[edge("a", "b", "related_to") for _ in range(9)], edge("b", "a", "depends_on"), edge("a", "b", "contains"), edge("a", "b", "implements")])
+    got = classify.classify(n, e, spark.createDataFrame([("production", "a")], "role string, node string"))
+    assert as_map(got, "memory_id", "reachability_class") == {"a": "wired", "b": "wired"}
+    assert sorted(r.kind for r in written["edges"].collect()) == ["calls", "contains", "implements"]
