@@ -16,6 +16,9 @@ from loomgraph.plans.checkpoint import cut, placed
 
 COUPLING = ["calls", "implements", "references", "type_of"]
 
+#: Up to so many nodes are looked up by their ids in the plan, which scans push down; more are joined.
+_FEW = 1_000
+
 
 def fan_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """O-71: (memory_id, fan_in, fan_out, stability), the share of incoming couplings, null without any."""
@@ -75,20 +78,41 @@ def file_risk(nodes: DataFrame, churn: DataFrame) -> DataFrame:
     return rank_percentile(joined.select("file_path", raw.alias("raw")), "raw", "file_path")
 
 
+def _leaving(edges: DataFrame, end: str, few: list[str], all_of_them: DataFrame) -> DataFrame:
+    """Edges with an end among nodes (from): ``few`` of them if there are no more than ``_FEW``, else the table."""
+    return edges.where(F.col(end).isin(few)) if len(few) <= _FEW else edges.join(all_of_them.select(F.col("from").alias(end)), end, "left_semi")
+
+
 def expand(edges: DataFrame, seeds: DataFrame, max_total: int = 50, max_per_seed: int = 20, max_depth: int = 3, attenuation: float = 0.5) -> DataFrame:
     """O-62: best-first neighbours of seeds: (seed, node, score, depth), at most ``max_per_seed`` each and ``max_total`` together.
 
-    A node's score is kind weight * edge weight * confidence of the edge that reaches it, times attenuation ** depth. The neighbourhood
-    within ``max_depth`` is cut out by joins for all seeds at once; each seed's best-first order then runs on its own part, so
-    parts are independent. Among equal scores the smaller id comes first; a node belongs to the seed that scores it best.
+    A node's score is kind weight * edge weight * confidence of the edge that reaches it, times attenuation ** depth. Of a node's ways
+    only the best ``max_per_seed`` to nodes other than seeds can be taken: before a later one comes up, all of these have been taken
+    or found taken, and the seed is full. So each round looks up the ways of few nodes, and each seed's best-first order then runs
+    on its own part. Among equal scores the smaller id comes first; a node belongs to the seed that scores it best.
     """
-    weights = P.mapped("kind", {k: str(v) for k, v in model.EXPANSION_WEIGHTS.items()}).cast("double")
-    one = edges.select("src", "dst", (weights * F.coalesce("weight", F.lit(1.0)) * F.coalesce("confidence", F.lit(0.7))).alias("w"))
-    both = cut(one.union(one.select("dst", "src", "w")).toDF("from", "to", "w").where("from <> to").groupBy("from", "to").agg(F.max("w").alias("w")), "expand")
-    start = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
-    near = walks.walk(both.select("from", "to"), start.select(F.col("seed").alias("root"), "node"), max_depth - 1)
-    local = near.select(F.col("root").alias("seed"), F.col("node").alias("from")).join(both, "from")
     names = {r["seed"] for r in seeds.select("seed").distinct().collect()}  # seeds are a request, not a table
+    asked = seeds.select(F.col("seed").alias("seed_id")).distinct()
+    weights = P.mapped("kind", {k: str(v) for k, v in model.EXPANSION_WEIGHTS.items()}).cast("double")
+    w = (weights * F.coalesce("weight", F.lit(1.0)) * F.coalesce("confidence", F.lit(0.7))).alias("w")
+    frontier, known = cut(seeds.select(F.col("seed"), F.col("seed").alias("from")).distinct(), "expand"), None
+    for depth in range(max_depth):
+        fresh = frontier.select("from").distinct()
+        if known is not None:
+            fresh = fresh.join(known.select("from").distinct(), "from", "left_anti")
+        fresh = cut(fresh, "expand")
+        few = [r["from"] for r in fresh.take(_FEW + 1)]
+        one = lambda a, b: _leaving(edges, a, few, fresh).select(F.col(a).alias("from"), F.col(b).alias("to"), w)  # noqa: E731, B023
+        ways = one("src", "dst").union(one("dst", "src")).where("from <> to").join(asked, F.col("to") == F.col("seed_id"), "left_anti")
+        best = W.partitionBy("from").orderBy(F.desc("w"), "to")
+        found = cut(ways.groupBy("from", "to").agg(F.max("w").alias("w")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= max_per_seed).drop("r"), "expand")
+        known = found if known is None else known.unionByName(found)
+        near = cut(frontier.join(known, "from"), "expand")
+        local = near if depth == 0 else local.unionByName(near)
+        frontier = near.select("seed", F.col("to").alias("from")).distinct()
+        if depth + 1 < max_depth:
+            frontier = cut(frontier, "expand")
+    local = local.distinct()
 
     def best_first(pdf: pd.DataFrame) -> pd.DataFrame:
         seed, out, done = pdf["seed"].iloc[0], [], set(names)

@@ -419,3 +419,34 @@ def test_classification_writes_no_edges_that_no_pass_reads(spark, monkeypatch):
     got = classify.classify(n, e, spark.createDataFrame([("production", "a")], "role string, node string"))
     assert as_map(got, "memory_id", "reachability_class") == {"a": "wired", "b": "wired"}
     assert sorted(r.kind for r in written["edges"].collect()) == ["calls", "contains", "implements"]
+
+
+@pytest.mark.parametrize("few", [1_000, 0])
+def test_expansion_takes_the_best_of_many_ways(spark, monkeypatch, few):
+    monkeypatch.setattr(enrich, "_FEW", few)
+    written = []
+    monkeypatch.setattr(enrich, "cut", lambda df, label: written.append(checkpoint.cut(df, label)) or written[-1])
+    rng = random.Random(3)
+    ids = [f"e{i:02d}" for i in range(60)]
+    links = [(a, b, rng.choice([0.25, 0.5, 1.0])) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(400))] + [("e00", i, 0.25) for i in ids[1:]]
+    near = collections.defaultdict(dict)
+    for a, b, x in links:
+        if a != b:
+            near[a][b] = near[b][a] = max(x, near[a].get(b, 0))
+    seeds, want = ["e00", "e01", "e02"], {}
+    for s in seeds:
+        done, heap, n = set(seeds), [(-x * 0.5, b, 1) for b, x in near[s].items()], 0
+        while heap and n < 6:
+            score, b, depth = min(heap)
+            heap.remove((score, b, depth))
+            if b in done:
+                continue
+            done.add(b)
+            n += 1
+            want[b] = min(want.get(b, (0, "")), (score, s))
+            heap += [(-x * 0.5 ** (depth + 1), c, depth + 1) for c, x in near[b].items()] if depth < 3 else []
+    _, e = frames(spark, [], [edge(a, b, weight=x, confidence=1.0) for a, b, x in links])
+    got = enrich.expand(e, spark.createDataFrame([(s,) for s in seeds], "seed string"), max_per_seed=6).collect()
+    assert {r.node: (-r.score, r.seed) for r in got} == want
+    ways = [t for t in written if t.columns == ["from", "to", "w"]]
+    assert ways and all(r["count"] <= 6 for t in ways for r in t.groupBy("from").count().collect())
