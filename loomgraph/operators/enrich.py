@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from loomgraph import model
 from loomgraph.functions import predicates as P
 from loomgraph.plans import walk as walks
-from loomgraph.plans.checkpoint import cut, placed
+from loomgraph.plans.checkpoint import cut, discard, placed
 
 COUPLING = ["calls", "implements", "references", "type_of"]
 
+#: After so many levels what was seen is written as one table, so that plans of deep graphs do not grow.
+_COMPACT = 8
+
 #: Up to so many nodes are looked up by their ids in the plan, which scans push down; more are joined.
 _FEW = 1_000
 
@@ -141,29 +144,43 @@ def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 100) -> DataF
     """O-75: (memory_id, betweenness) from shortest paths out of at most ``samples`` sources, picked by stride in id order.
 
     Brandes' two sweeps as joins: forward, levels and path counts of all sources at once; backward, level by level, the
-    dependency of a node on each of its sources. No task holds the graph.
+    dependency of a node on each of its sources. Nodes and sources are numbers here and steps lists, and what arrives at a node is
+    summed before it meets the levels, so only one row per source and node is shuffled. No task holds the graph.
     """
     ids = nodes.select("memory_id")
     n = ids.count()
     stride = max(1, n // max(1, min(n, samples)))
-    sources = placed(ids, "memory_id", name="at").where(F.col("at") % stride == 0).orderBy("at").limit(min(n, samples)).select(F.col("memory_id").alias("s"))
-    pairs = cut(edges.where(F.col("kind").isin(model.ADMISSION["structural"])).select(F.col("src").alias("v"), F.col("dst").alias("w")).distinct().where("v <> w"), "brandes")
-    frontier = cut(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("sigma"), F.lit(0).alias("d")), "brandes")
-    levels = [frontier]
-    seen = frontier
+    sources = placed(ids, "memory_id", name="at").where(F.col("at") % stride == 0).orderBy("at").limit(min(n, samples)).select(F.col("memory_id").alias("name"), F.expr(f"cast(at div {stride} as int)").alias("s"))
+    named = cut(edges.where(F.col("kind").isin(model.ADMISSION["structural"])).select("src", "dst").where("src <> dst").distinct(), "brandes")
+    ends = ids.union(named.select("src")).union(named.select("dst")).toDF("name").distinct()
+    names = cut(ends.withColumn("id", F.monotonically_increasing_id()), "names")
+    number = lambda end, to: names.select(F.col("name").alias(end), F.col("id").alias(to))
+    pairs = cut(named.join(number("src", "from"), "src").join(number("dst", "to"), "dst").select("from", "to"), "brandes")
+    out, back = walks.packed(pairs), walks.packed(pairs.select(F.col("to").alias("from"), F.col("from").alias("to")))
+    discard(named, pairs)
+
+    def summed(rows: DataFrame, lists: DataFrame, value: str) -> DataFrame:
+        """(s, v, value): sums over the steps from rows (s, v, value)."""
+        return rows.select("s", F.col("v").alias("from"), value).join(lists, "from").select("s", F.explode("to").alias("v"), value).groupBy("s", "v").agg(F.sum(value).alias(value))
+
+    levels = [cut(sources.join(names, "name").select("s", F.col("id").alias("v"), F.lit(1.0).alias("sigma")), "brandes")]
+    seen = levels[0].select("s", "v")
     while True:
-        hop = frontier.select("s", "v", "sigma").join(pairs, "v").select("s", F.col("w").alias("v"), "sigma").join(seen.select("s", "v"), ["s", "v"], "left_anti")
-        frontier = cut(hop.groupBy("s", "v").agg(F.sum("sigma").alias("sigma")).withColumn("d", F.lit(len(levels))), "brandes")
+        frontier = cut(summed(levels[-1], out, "sigma").join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"), "brandes")
         if not frontier.take(1):
             break
         levels.append(frontier)
-        seen = seen.unionByName(frontier)
-    delta = cut(levels[-1].select("s", "v", "sigma", F.lit(0.0).alias("delta")), "brandes")
-    total = delta
+        seen = seen.unionByName(frontier.select("s", "v"))
+        if len(levels) % _COMPACT == 0:
+            seen = cut(seen, "seen")
+    delta = cut(levels[-1].withColumn("delta", F.lit(0.0)), "brandes")
+    total = delta.limit(0)
+    # The sources themselves, level 0, get nothing from their own paths.
     for level in reversed(levels[:-1]):
-        down = level.select("s", "v", F.col("sigma").alias("own")).join(pairs, "v").join(delta.select("s", F.col("v").alias("w"), "sigma", "delta"), ["s", "w"])
-        part = down.groupBy("s", "v").agg(F.sum(F.col("own") / F.col("sigma") * (1 + F.col("delta"))).alias("delta"))
-        delta = cut(level.select("s", "v", "sigma").join(part, ["s", "v"], "left").na.fill(0.0, ["delta"]), "brandes")
+        if level is levels[0]:
+            break
+        share = summed(delta.select("s", "v", ((1 + F.col("delta")) / F.col("sigma")).alias("share")), back, "share")
+        delta = cut(level.join(share, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce(F.col("sigma") * F.col("share"), F.lit(0.0)).alias("delta")), "brandes")
         total = total.unionByName(delta)
-    score = total.where("s <> v").groupBy(F.col("v").alias("memory_id")).agg(F.sum("delta").alias("betweenness"))
+    score = total.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("betweenness")).join(names, "id").select(F.col("name").alias("memory_id"), "betweenness")
     return ids.join(score, "memory_id", "left").na.fill(0.0, ["betweenness"])

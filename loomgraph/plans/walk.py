@@ -19,7 +19,7 @@ from loomgraph.plans.checkpoint import cut, discard, is_cut
 #: After so many rounds the visited set is written as one table, so that plans of deep walks do not grow.
 _COMPACT = 8
 
-#: Steps in a list of :func:`packed_steps`, about.
+#: Steps in a list of :func:`packed`, about.
 _LIST = 10_000
 
 
@@ -60,12 +60,17 @@ def steps(edges: DataFrame, spec: WalkSpec, nodes: DataFrame | None = None) -> D
 
 
 def packed_steps(edges: DataFrame, spec: WalkSpec) -> DataFrame:
-    """(from, to: a list), written: a node's steps in lists, which rounds join at a fraction of the rows; test modules are kept.
+    """Steps of a walk as lists (:func:`packed`); test modules are kept."""
+    a, b = ("src", "dst") if spec.direction == "out" else ("dst", "src")
+    return packed(edges.where(F.col("kind").isin(list(spec.kinds))).select(F.col(a).alias("from"), F.col(b).alias("to")))
+
+
+def packed(pairs: DataFrame) -> DataFrame:
+    """(from, to: a list), written: a node's steps in lists, which rounds join at a fraction of the rows.
 
     Nodes with more than ``_LIST`` steps have several lists, dealt by the far end, so a hot node stays splittable.
     """
-    a, b = ("src", "dst") if spec.direction == "out" else ("dst", "src")
-    pairs = edges.where(F.col("kind").isin(list(spec.kinds))).select(F.col(a).alias("from"), F.col(b).alias("to")).where("from is not null and to is not null")
+    pairs = pairs.where("from is not null and to is not null")
     hot = cut(pairs.groupBy("from").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > _LIST), "hot")
     part = F.coalesce(F.pmod(F.xxhash64("to"), F.ceil(F.col("n") / _LIST)), F.lit(0))
     lists = cut(pairs.join(hot, "from", "left").groupBy("from", part.alias("part")).agg(F.collect_list("to").alias("to")).select("from", "to"), "steps")

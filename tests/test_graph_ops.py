@@ -450,3 +450,18 @@ def test_expansion_takes_the_best_of_many_ways(spark, monkeypatch, few):
     assert {r.node: (-r.score, r.seed) for r in got} == want
     ways = [t for t in written if t.columns == ["from", "to", "w"]]
     assert ways and all(r["count"] <= 6 for t in ways for r in t.groupBy("from").count().collect())
+
+
+def test_betweenness_keeps_numbers_and_compacts_what_it_saw(spark, monkeypatch):
+    monkeypatch.setattr(walk, "_LIST", 2)
+    monkeypatch.setattr(enrich, "_COMPACT", 2)
+    written = []
+    monkeypatch.setattr(enrich, "cut", lambda df, label: written.append((label, df.columns, dict(df.dtypes))) or checkpoint.cut(df, label))
+    ids = [f"b{i}" for i in range(12)]
+    pairs = sorted({*itertools.pairwise(ids[:8]), *(("b0", i) for i in ids[8:]), *((i, "b5") for i in ids[8:]), ("b5", "outside"), ("outside", "b11"), ("b7", "b0")})
+    n, e = frames(spark, [node(i) for i in ids], [edge(a, b, k) for a, b in pairs for k in ("calls", "references")])
+    want = brandes([*ids, "outside"], pairs, ids)
+    got = as_map(enrich.betweenness(n, e), "memory_id", "betweenness")
+    assert got.keys() == set(ids) and all(abs(got[k] - want[k]) < 1e-9 for k in ids) and max(want.values()) > 0
+    levels = [types for _, columns, types in written if "sigma" in columns]
+    assert len(levels) > 4 and all((t["s"], t["v"]) == ("int", "bigint") for t in levels) and any(label == "seen" for label, _, _ in written)
