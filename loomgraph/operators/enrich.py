@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,14 +12,18 @@ from pyspark.sql import functions as F
 
 from loomgraph import model
 from loomgraph.functions import predicates as P
+from loomgraph.plans import blocks
 from loomgraph.plans import walk as walks
-from loomgraph.plans.checkpoint import cut, discard, placed
+from loomgraph.plans.checkpoint import cut, discard, placed, tidy
 
 COUPLING = ["calls", "implements", "references", "type_of"]
 
 #: After so many levels what was seen is written as one table, so that plans of deep graphs do not grow.
 _COMPACT = 8
 
+#: Levels that betweenness finds in rounds before tasks may go on alone, and the steps and nodes of a graph that a task may hold.
+_DEEP, _HELD = 5, 1 << 24
+
 #: Up to so many nodes are looked up by their ids in the plan, which scans push down; more are joined.
 _FEW = 1_000
 
@@ -143,44 +148,60 @@ def expand(edges: DataFrame, seeds: DataFrame, max_total: int = 50, max_per_seed
 def betweenness(nodes: DataFrame, edges: DataFrame, samples: int = 100) -> DataFrame:
     """O-75: (memory_id, betweenness) from shortest paths out of at most ``samples`` sources, picked by stride in id order.
 
-    Brandes' two sweeps as joins: forward, levels and path counts of all sources at once; backward, level by level, the
-    dependency of a node on each of its sources. Nodes and sources are numbers here and steps lists, and what arrives at a node is
-    summed before it meets the levels, so only one row per source and node is shuffled. No task holds the graph.
+    Brandes' two sweeps, each round for all sources at once (:mod:`loomgraph.plans.blocks`): forward, levels and path counts;
+    backward, level by level, the dependency of a node on each of its sources. What was seen is a bit for each node and source,
+    kept by parts of nodes; a part writes its bits only in rounds that reach it, and the last ones count. Of a graph that goes on
+    for ``_DEEP`` levels, where rounds reach few nodes each, the rest is left to tasks that hold the graph if its steps and nodes
+    are no more than ``_HELD``; no task holds a larger one.
     """
-    ids = nodes.select("memory_id")
+    ids = cut(nodes.select("memory_id"), "ids")
     n = ids.count()
     stride = max(1, n // max(1, min(n, samples)))
     sources = placed(ids, "memory_id", name="at").where(F.col("at") % stride == 0).orderBy("at").limit(min(n, samples)).select(F.col("memory_id").alias("name"), F.expr(f"cast(at div {stride} as int)").alias("s"))
     named = cut(edges.where(F.col("kind").isin(model.ADMISSION["structural"])).select("src", "dst").where("src <> dst").distinct(), "brandes")
     ends = ids.union(named.select("src")).union(named.select("dst")).toDF("name").distinct()
-    names = cut(ends.withColumn("id", F.monotonically_increasing_id()), "names")
+    names = cut(placed(ends, "name", name="id"), "names")
     number = lambda end, to: names.select(F.col("name").alias(end), F.col("id").alias(to))
     pairs = cut(named.join(number("src", "from"), "src").join(number("dst", "to"), "dst").select("from", "to"), "brandes")
-    out, back = walks.packed(pairs), walks.packed(pairs.select(F.col("to").alias("from"), F.col("from").alias("to")))
-    discard(named, pairs)
-
-    def summed(rows: DataFrame, lists: DataFrame, value: str) -> DataFrame:
-        """(s, v, value): sums over the steps from rows (s, v, value)."""
-        return rows.select("s", F.col("v").alias("from"), value).join(lists, "from").select("s", F.explode("to").alias("v"), value).groupBy("s", "v").agg(F.sum(value).alias(value))
-
-    levels = [cut(sources.join(names, "name").select("s", F.col("id").alias("v"), F.lit(1.0).alias("sigma")), "brandes")]
-    seen = levels[0].select("s", "v")
-    while True:
-        frontier = cut(summed(levels[-1], out, "sigma").join(seen, ["s", "v"], "left_anti").select("s", "v", "sigma"), "brandes")
-        if not frontier.take(1):
-            break
-        levels.append(frontier)
-        seen = seen.unionByName(frontier.select("s", "v"))
-        if len(levels) % _COMPACT == 0:
-            seen = cut(seen, "seen")
-    delta = cut(levels[-1].withColumn("delta", F.lit(0.0)), "brandes")
-    total = delta.limit(0)
-    # The sources themselves, level 0, get nothing from their own paths.
-    for level in reversed(levels[:-1]):
-        if level is levels[0]:
-            break
-        share = summed(delta.select("s", "v", ((1 + F.col("delta")) / F.col("sigma")).alias("share")), back, "share")
-        delta = cut(level.join(share, ["s", "v"], "left").select("s", "v", "sigma", F.coalesce(F.col("sigma") * F.col("share"), F.lit(0.0)).alias("delta")), "brandes")
-        total = total.unionByName(delta)
-    score = total.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("betweenness")).join(names, "id").select(F.col("name").alias("memory_id"), "betweenness")
-    return ids.join(score, "memory_id", "left").na.fill(0.0, ["betweenness"])
+    wide = max(1, min(n, samples))
+    out = blocks.blocked(pairs, wide)
+    size = {"steps": pairs.count(), "nodes": names.count()}
+    discard(named)
+    part = F.expr(f"cast(v div {out.size} as int)").alias("part")
+
+    def reached(table: DataFrame) -> list[int]:
+        """Parts with rows of a level: one row of each has its bits."""
+        return [r["part"] for r in table.where("seen is not null").select("part").collect()]
+
+    start = sources.join(names, "name").select("s", F.col("id").alias("v"), F.lit(1.0).alias("sigma")).select(part, "s", "v", "sigma")
+    levels, parts, bits, scores = [], [], [], []
+    sums, held = start, sum(size.values()) <= _HELD
+    with tidy(ids.sparkSession):
+        while not held or len(levels) < _DEEP:
+            seen = [b.where("seen is not null").select("part", "round", "seen") for b in bits]
+            found = cut(blocks.of_parts(["part", "s", "v", "sigma", "at", "x", "round", "seen"], [sums, *seen], blocks.fresh(out.size, wide, len(levels)), blocks.LEVEL), "brandes")
+            if not (there := reached(found)):
+                break
+            levels.append(found)
+            parts.append(there)
+            bits.append(found)
+            if len(levels) % _COMPACT == 0:
+                last = F.max_by("seen", "round").alias("seen")
+                bits = [cut(blocks.together(["part", "round", "seen"], *bits).where("seen is not null").groupBy("part").agg(last, F.max("round").alias("round")), "seen")]
+            sums = out.summed(found.where("v is not null"), "sigma", there, out.ahead(there))
+        if held and len(levels) == _DEEP:
+            scores.append(blocks.dependencies(out.steps, [level.where("v is not null") for level in levels], out.size, size["nodes"], wide))
+        elif len(levels) > 2:
+            back = blocks.blocked(pairs.select(F.col("to").alias("from"), F.col("from").alias("to")), wide)
+            shares = levels[-1].where("v is not null").select("part", "s", "v", (1 / F.col("sigma")).alias("share"))
+            # The sources themselves, level 0, get nothing from their own paths; the last level passes nothing on.
+            for at in range(len(levels) - 2, 0, -1):
+                ahead, own = back.ahead(parts[at + 1]), set(parts[at])
+                sums = back.summed(shares, "share", parts[at + 1], ahead and {b for b in ahead if b >> 32 in own})
+                level = levels[at].where("v is not null").select("part", "s", "v", "sigma")
+                shares = cut(blocks.of_parts(["part", "s", "v", "sigma", "at", "x"], [level, blocks.named(sums, "part", own)], blocks.returned(out.size, wide), blocks.SHARE), "brandes")
+                scores.append(shares.where("delta > 0").select("v", "delta"))
+        total = reduce(DataFrame.unionByName, scores) if scores else start.limit(0).select("v", F.col("sigma").alias("delta"))
+        score = cut(total.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("betweenness")), "brandes")
+    discard(pairs, out.table, *levels, *bits)
+    return ids.join(score.join(names, "id").select(F.col("name").alias("memory_id"), "betweenness"), "memory_id", "left").na.fill(0.0, ["betweenness"])

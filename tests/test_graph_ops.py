@@ -17,7 +17,7 @@ from loomgraph.errors import SymbolAmbiguous, SymbolNotFound
 from loomgraph.functions import predicates as P
 from loomgraph.functions import source_text as S
 from loomgraph.operators import build, changes, classify, enrich, evidence, grep, rollup, search
-from loomgraph.plans import checkpoint, walk
+from loomgraph.plans import blocks, checkpoint, walk
 from loomgraph.queries import base
 from loomgraph.verbs import RECEIPTS, Graph
 
@@ -465,3 +465,28 @@ def test_betweenness_keeps_numbers_and_compacts_what_it_saw(spark, monkeypatch):
     assert got.keys() == set(ids) and all(abs(got[k] - want[k]) < 1e-9 for k in ids) and max(want.values()) > 0
     levels = [types for _, columns, types in written if "sigma" in columns]
     assert len(levels) > 4 and all((t["s"], t["v"]) == ("int", "bigint") for t in levels) and any(label == "seen" for label, _, _ in written)
+
+
+def test_betweenness_of_deep_graphs_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(enrich, "cut", lambda df, label: written.append(df.columns) or checkpoint.cut(df, label))
+    ids = [f"d{i:02d}" for i in range(50)]
+    pairs = sorted({*itertools.pairwise(ids), ("d03", "d20"), ("d03", "e"), ("e", "d21"), ("d40", "d10"), ("d49", "d00")})
+    n, e = frames(spark, [node(i) for i in ids], [edge(a, b) for a, b in pairs])
+    got, want = as_map(enrich.betweenness(n, e), "memory_id", "betweenness"), brandes([*ids, "e"], pairs, ids)
+    assert got.keys() == set(ids) and all(abs(got[k] - want[k]) < 1e-9 for k in ids) and max(want.values()) > 100
+    assert len(written) < 20
+
+
+@pytest.mark.parametrize("held", [0, 1 << 24])
+def test_betweenness_in_many_parts_and_blocks(spark, monkeypatch, held):
+    for name, small in (("_NODES", 7), ("_ARRIVING", 60), ("_SPREAD", 3), ("_NAMED", 12)):
+        monkeypatch.setattr(blocks, name, small)
+    monkeypatch.setattr(enrich, "_HELD", held)
+    monkeypatch.setattr(enrich, "_DEEP", 2)
+    rng = random.Random(11)
+    ids = sorted(f"n{i:02d}" for i in range(40))
+    pairs = {(a, b) for a, b in ((rng.choice(ids), rng.choice(ids)) for _ in range(60)) if a != b} | {("n05", i) for i in ids[6:38]} | {(i, "n07") for i in ids[8:30]} | {("n07", "out"), ("out", "n39")}
+    n, e = frames(spark, [node(i) for i in ids], [edge(a, b) for a, b in sorted(pairs)])
+    got, want = as_map(enrich.betweenness(n, e, 10), "memory_id", "betweenness"), brandes([*ids, "out"], sorted(pairs), ids[:: 40 // 10][:10])
+    assert got.keys() == set(ids) and all(abs(got[k] - want[k]) < 1e-9 for k in ids) and max(want.values()) > 0
